@@ -56,3 +56,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Ids up to this number are broadcast (some 30 MB); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def filter_by_ids(rows: DataFrame, key: str, ids: DataFrame, keep: bool) -> DataFrame:
+    """The rows whose key is (keep) or isn't among the ids, a stored table of one column. Its size is counted first."""
+    from pyspark.sql import functions as F
+
+    name = ids.columns[0]
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    ids = ids.withColumnRenamed(name, "__id")
+    return rows.join(F.broadcast(ids) if small else ids, F.col(key) == F.col("__id"), "left_semi" if keep else "left_anti")
