@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.shipping import filter_by_ids, written
+
 #: White space that isn't already one space.
 RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 HOT_ROWS, HOT_DIGESTS = 2_000, 65_536
@@ -35,7 +37,7 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(doc_id).alias("doc_id"), normal_text(F.col(text)).alias("t"))
     rows = rows.withColumn("d", F.unhex(F.sha2("t", 256)))
     counts = rows.groupBy("d").agg(F.count("*").alias("n")).filter(F.col("n") >= hot_rows)
-    # the scalar subquery keeps the bound on hot digests proportional, so the broadcast stays bounded at any size
+    # the threshold grows with the table, so the number of hot digests stays bounded at any size
     total = docs.count()
     least = max(hot_rows, -(-total // HOT_DIGESTS))
     hot = counts.filter(F.col("n") >= least).select("d", F.ceil(F.col("n") / least).cast("int").alias("salts"))
@@ -62,6 +64,14 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; doc_id identifies a document, so a repeated row stays once."""
-    kept = duplicate_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([doc_id])
+    """The rows that stay, with all their columns.
+
+    doc_id identifies a document: rows whose id lost against another are dropped, and of rows repeated with their id one
+    stays. Rows without an id stay.
+    """
+    groups = written(duplicate_groups(docs, doc_id, text).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", "keep_id"), "dropped")
+    kept = filter_by_ids(docs, doc_id, groups.filter("doc_id <> keep_id").select("doc_id"), keep=False)
+    if groups.filter("doc_id = keep_id").limit(1).count():
+        alone = kept.filter(F.col(doc_id).isNull())
+        return kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(alone)
+    return kept
