@@ -6,16 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import byte_bpe, exact_dedup, golay, packing, topk, toxicity
+from paperloom.llm import byte_bpe, exact_dedup, golay, licenses, packing, pii, topk, toxicity, warc, wrappers
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+#: A key for tables without personal data of real people; a deployment passes its own secret.
+PSEUDONYM_KEY = "paperloom-demonstration-key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_external_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.capture_index(_table(spark, sf_dir, "pages"), minimum_revisit_size=0)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time")
+
+
+def op2_sentence_rule_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -24,6 +35,10 @@ def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicate_groups(_table(spark, sf_dir, "documents"), width=4, most=4)
 
@@ -44,6 +59,10 @@ FROM t WINDOW g AS (PARTITION BY t)
 """
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonym_report(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op9_term_at_a_time_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", topk.floor_weights(F.col("embedding")).alias("weights"))
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -68,11 +87,15 @@ def op10_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_external_index_merge": op1_external_index_merge,
+    "op2_sentence_rule_licenses": op2_sentence_rule_licenses,
     "op3_noisy_channel_toxicity": op3_noisy_channel_toxicity,
+    "op4_wrapper_induction": op4_wrapper_induction,
     "op5_golay_simhash": op5_golay_simhash,
     "op6_exact_complement_packing": op6_exact_complement_packing,
     "op7_skew_safe_exact_dedup": op7_skew_safe_exact_dedup,
+    "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_term_at_a_time_topk": op9_term_at_a_time_topk,
     "op10_byte_bpe_round_trip": op10_byte_bpe_round_trip,
 }
-ORACLE_SQL = {"op7_skew_safe_exact_dedup": OP7_SQL, "op9_term_at_a_time_topk": OP9_SQL}
+ORACLE_SQL = {"op2_sentence_rule_licenses": licenses.report_sql(), "op7_skew_safe_exact_dedup": OP7_SQL, "op9_term_at_a_time_topk": OP9_SQL}
