@@ -1,0 +1,43 @@
+"""Word lists and phrase lists."""
+
+from __future__ import annotations
+
+_BOTH = """
+    a i be he me we if of am an in on do no so to up or as is at it by my did and she the are off all him own who
+    too her for nor our has was his its get got not but out you few how any once same some here were more have each
+    such with both will them from than been then when down into over your does this hers ours that what most they
+    only very could would while there where these those above being doing which until again under other after their
+    yours about below should before itself myself during having theirs cannot because himself herself through
+    between further against yourself ourselves themselves
+"""
+#: Words that are no keywords.
+KEYWORD_STOPWORDS = frozenset(_BOTH.split()) | frozenset("""
+    i'd i'm why he'd we'd i've i'll whom he's it's she'd you'd we're we've he'll we'll she's who's let's how's
+    why's can't don't won't isn't ought they'd you're you've she'll you'll here's when's that's what's shan't
+    didn't aren't hasn't wasn't they're they've they'll there's where's weren't haven't doesn't mustn't couldn't
+    wouldn't shouldn't yourselves
+""".split())
+#: Words that don't count for similarity.
+SIMILARITY_STOPWORDS = frozenset(_BOTH.split()) | frozenset("""
+    can don let
+""".split())
+
+#: Phrases of each document type in alphabetical order, and the order in which training texts use them.
+_PHRASES = {
+    "invoice": ("amount due|bill to|invoice|invoice date|invoice number|line item|payment due|po number|purchase order|qty|quantity|remit to|subtotal|tax|total|unit price", (2, 1, 4, 3, 6, 0, 12, 13, 14, 11, 8, 7, 15, 9, 10, 5)),
+    "contract": ("agreement|breach|clause|confidentiality|consideration|effective date|executed|governing law|hereinafter|indemnification|indemnify|liability|obligations|parties|party|termination|terms and conditions|whereas|witnesseth", (0, 17, 8, 14, 13, 12, 16, 7, 5, 15, 10, 9, 11, 3, 1, 2, 4, 18, 6)),
+    "resume": ("bachelor|college|curriculum vitae|cv|degree|education|employment|experience|gpa|master|objective|phd|references|resume|skills|summary|university|work history", (13, 2, 3, 7, 5, 14, 10, 15, 17, 6, 12, 8, 4, 16, 1, 0, 9, 11)),
+    "report": ("abstract|analysis|appendix|background|conclusion|discussion|executive summary|findings|introduction|methodology|recommendations|references|results|scope", (6, 8, 9, 7, 4, 10, 2, 0, 3, 13, 1, 12, 5, 11)),
+    "letter": ("best regards|dear|enclosed|i am writing|please find|re:|regards|sincerely|subject:|thank you for|to whom it may concern|yours truly", (1, 7, 6, 11, 10, 5, 8, 2, 4, 3, 9, 0)),
+    "form": ("address|check all that apply|date of birth|email address|fill in|full name|instructions|optional|phone number|please complete|please print|required|section|signature|social security", (9, 4, 1, 13, 2, 14, 5, 0, 8, 3, 10, 6, 11, 7, 12)),
+}
+DOCUMENT_TYPES = tuple(_PHRASES)
+SIGNATURES = {name: tuple(text.split("|")[i] for i in order) for name, (text, order) in _PHRASES.items()}
+#: The least confidence with which a type is accepted.
+THRESHOLDS = {"report": 0.35, "letter": 0.35} | dict.fromkeys(("form", "resume", "contract", "invoice"), 0.4)
+OTHER_THRESHOLD = 0.35
+#: What in a title or in the keywords points to a type.
+TITLE_HINTS = {
+    "invoice": "receipt bill invoice", "contract": "legal agreement contract", "resume": "curriculum cv resume",
+    "report": "study analysis report", "letter": "correspondence letter", "form": "application form",
+}
