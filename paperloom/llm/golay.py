@@ -180,13 +180,13 @@ def _forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _links(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(key: np.ndarray, fp: np.ndarray, most: int, small_run: int = SMALL_RUN) -> tuple[np.ndarray, np.ndarray]:
     """Places of linked rows; rows are sorted by key."""
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     size = np.repeat(np.diff(edge), np.diff(edge))
-    small = (size > 1) & (size <= SMALL_RUN)
+    small = (size > 1) & (size <= small_run)
     a, b = [], []
-    for lag in range(1, SMALL_RUN):
+    for lag in range(1, small_run):
         at = np.flatnonzero(small[:-lag] & (key[:-lag] == key[lag:]) & (size[:-lag] > lag))
         if not len(at):
             break
@@ -194,14 +194,14 @@ def _links(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.n
         a.append(at)
         b.append(at + lag)
     for start, end in zip(edge[:-1], edge[1:]):
-        if end - start > SMALL_RUN:
+        if end - start > small_run:
             x, y = _forest(fp[start:end], most)
             a.append(x + start)
             b.append(y + start)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def linked_fingerprints(distinct: DataFrame, most: int, words: int, keys: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def linked_fingerprints(distinct: DataFrame, most: int, words: int, keys: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], small_run: int = SMALL_RUN) -> DataFrame:
     """Pairs (a, b) of nodes within `most` bits; distinct: node, fp0, .. with each fingerprint once.
 
     Not every pair of a large group is returned, but enough pairs that it stays connected.
@@ -225,7 +225,7 @@ def linked_fingerprints(distinct: DataFrame, most: int, words: int, keys: Callab
 
         def found(rows: list[np.ndarray]) -> pa.RecordBatch | None:
             nonlocal seen
-            a, b = _links(rows[0], np.stack(rows[2:], axis=1).view(np.uint64), most)
+            a, b = _links(rows[0], np.stack(rows[2:], axis=1).view(np.uint64), most, small_run)
             low, high = np.minimum(rows[1][a], rows[1][b]), np.maximum(rows[1][a], rows[1][b])
             pairs = np.empty(len(a), "i8,i8")
             pairs["f0"], pairs["f1"] = low, high
@@ -296,8 +296,8 @@ def near_duplicate_groups(docs: DataFrame, width: int = 4, most: int = 4, doc_id
     return prints.join(named, "fp0").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of 128 bits, more than texts with 80 % of their shingles in common differ in, but for one in twenty.
-CANDIDATE_BITS = 27
+#: Of 128 bits, more than texts with 80 % of their shingles in common differ in, but for one in a hundred.
+CANDIDATE_BITS = 30
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -311,7 +311,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     prints = written(fingerprints(docs.filter(F.col(doc_id).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]")), width, 2, doc_id, text), "fingerprints")
     distinct = prints.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("node"))
     same = prints.join(distinct, ["fp0", "fp1"]).filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    edges = written(linked_fingerprints(distinct, CANDIDATE_BITS, 2, keys_of_pairs).union(same).distinct(), "candidates")
+    edges = written(linked_fingerprints(distinct, CANDIDATE_BITS, 2, keys_of_pairs, small_run=8).union(same).distinct(), "candidates")
     involved = written(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "ids")
     texts = filter_by_ids(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", involved, keep=True)
 
