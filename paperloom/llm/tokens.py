@@ -6,8 +6,8 @@ import re
 from array import array
 from collections.abc import Callable
 
-#: Entries of a generation; a worker holds two generations, about 130 MB at most.
-GENERATION = 300_000
+#: Entries of a generation; a worker holds two generations, about 70 MB at most.
+GENERATION = 150_000
 #: Longer pieces aren't kept.
 LONGEST_KEPT = 64
 #: White space that isn't ASCII's four kinds: the libraries' patterns disagree about some of it.

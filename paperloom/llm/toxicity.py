@@ -159,7 +159,7 @@ class Reader:
     known: the model's features, by which words that have none of them are passed over.
     """
 
-    def __init__(self, costs: np.ndarray, known: dict[str, int] | None = None, generation: int = 300_000):
+    def __init__(self, costs: np.ndarray, known: dict[str, int] | None = None, generation: int = 150_000):
         self.costs, self.known, self.cache, self.generation = costs, known, {}, generation
         self.parts = None if known is None else {f for f in known if ":" not in f} | {f[2:] for f in known if ":" in f}
 
