@@ -7,6 +7,7 @@ lies in another's, the longer one stays, of equal spans the first recognised.
 from __future__ import annotations
 
 import calendar
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,8 +121,9 @@ def _entity(kind: str, confidence: float, shown):
 
 
 def _first_of_each_text(found: Column) -> Column:
-    texts = F.transform(found, lambda x: x["text"])
-    return F.filter(found, lambda x, i: F.array_position(texts, x["text"]) == i + 1)
+    # bound once: the matches are used twice
+    both = F.transform(F.array(found), lambda f: F.struct(f.alias("f"), F.transform(f, lambda x: x["text"]).alias("texts")))
+    return F.flatten(F.transform(both, lambda b: F.filter(b["f"], lambda x, i: F.array_position(b["texts"], x["text"]) == i + 1)))
 
 
 def deduplicated(entities: Column) -> Column:
@@ -129,7 +131,7 @@ def deduplicated(entities: Column) -> Column:
     swept = F.array_sort(F.transform(entities, lambda e: F.struct(e["start"].alias("s"), (-e["end"]).alias("n"), e["ord"].alias("o"), e.alias("e"))))
     kept = F.aggregate(
         swept,
-        F.struct(F.lit(-1).alias("far"), F.slice(entities, 1, 0).alias("out")),
+        F.struct(F.lit(-1).alias("far"), F.array().cast(f"array<{ENTITY}>").alias("out")),
         lambda a, x: F.struct(
             F.greatest(a["far"], x["e"]["end"]).alias("far"),
             F.when(a["far"] >= x["e"]["end"], a["out"]).otherwise(F.concat(a["out"], F.array(x["e"]))).alias("out"),
@@ -181,30 +183,40 @@ CONTEXT = 60
 LABEL = r"^([a-z][a-z\s]{1,30}):\s*$"
 
 
-def role_of(text: Column, kind: Column, start: Column) -> Column:
+def role_of(context: Column, line: Column, kind: Column) -> Column:
     """A role by rules, else field:<label> where the line before the entity is just a label, else null."""
-    context = F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
-    line = F.regexp_replace(F.lower(F.substring_index(F.substring(text, F.lit(1), start), "\n", -1)), r"^\s+|\s+$", "")
     out = None
     for k, role, phrases in role_rules():
-        hit = None
-        for p in phrases:
-            hit = context.contains(p) if hit is None else hit | context.contains(p)
+        hit = functools.reduce(lambda a, b: a | b, (context.contains(p) for p in phrases))
         out = F.when((kind == k) & hit, role) if out is None else out.when((kind == k) & hit, role)
     label = F.regexp_replace(F.regexp_extract(line, LABEL, 1), r"\s+$", "")
     return out.when(line.rlike(LABEL), F.concat(F.lit("field:"), label))
 
 
+_NAMES = ("ord", "text", "entity_type", "start", "end", "confidence", "normalized")
+
+
+def _before(text: Column, start: Column) -> tuple[Column, Column]:
+    """The 60 characters before an entity and its line up to it, both in lower case."""
+    context = F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
+    return context, F.regexp_replace(F.lower(F.substring_index(F.substring(text, F.lit(1), start), "\n", -1)), r"^\s+|\s+$", "")
+
+
 def linked(text: Column, entities: Column) -> Column:
-    names = ("ord", "text", "entity_type", "start", "end", "confidence", "normalized")
-    return F.transform(entities, lambda e: F.struct(*(e[k].alias(k) for k in names), role_of(text, e["entity_type"], e["start"]).alias("role")))
+    """The entities of an array with their roles; for streams, which have no rows per entity."""
+    return F.transform(entities, lambda e: F.struct(*(e[k].alias(k) for k in _NAMES), role_of(*_before(text, e["start"]), e["entity_type"]).alias("role")))
 
 
 def entity_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dedup: bool = True, link: bool = True, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """One row per entity: doc_id, ord, text, entity_type, start, end, confidence, normalized, role."""
-    found = recognised(F.col("__t"), kinds)
+    """One row per entity: doc_id, ord, text, entity_type, start, end, confidence, normalized, role.
+
+    Only an entity's surroundings go with it; the rules then run on rows, in compiled code.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t")).withColumn("__e", recognised(F.col("__t"), kinds))
     if dedup:
-        found = deduplicated(found)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t")).withColumn("__e", found)
-    rows = rows.withColumn("__e", linked(F.col("__t"), F.col("__e"))) if link else rows.withColumn("__e", F.transform("__e", lambda e: F.struct(*(e[k].alias(k) for k in ("ord", "text", "entity_type", "start", "end", "confidence", "normalized")), F.lit(None).cast("string").alias("role"))))
-    return rows.select("doc_id", F.explode("__e").alias("e")).select("doc_id", "e.*")
+        rows = rows.withColumn("__e", deduplicated(F.col("__e")))
+    if not link:
+        return rows.select("doc_id", F.explode("__e").alias("e")).select("doc_id", "e.*", F.lit(None).cast("string").alias("role"))
+    around = lambda e: F.struct(e.alias("e"), *(c.alias(n) for c, n in zip(_before(F.col("__t"), e["start"]), ("context", "line"))))
+    rows = rows.select("doc_id", F.explode(F.transform("__e", around)).alias("x")).select("doc_id", "x.e.*", "x.context", "x.line")
+    return rows.select("doc_id", *_NAMES, role_of(F.col("context"), F.col("line"), F.col("entity_type")).alias("role"))
