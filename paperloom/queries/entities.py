@@ -107,6 +107,13 @@ def entity_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).groupBy("entity_type", "role").agg(F.count("*").alias("n"))
 
 
+def roles_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked entities of rendered documents, counted by document type and role."""
+    docs = render.rendered(spark, sf_dir)
+    kinds = classify.rule_classified(docs).select("doc_id", "document_type")
+    return entities.entity_rows(docs).join(kinds, "doc_id").groupBy("document_type", "entity_type", "role").agg(F.count("*").alias("n"))
+
+
 def entities_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus itself, whose texts aren't ASCII: spans follow Unicode word boundaries."""
     return entities.entity_rows(table(spark, sf_dir, "documents"))
@@ -184,10 +191,11 @@ FROM s
 
 KINDS = tuple(k for k, *_ in entities.RECOGNISERS)
 QUERIES = {f"entities_{k}": _of_kind(k) for k in KINDS} | {
-    "entities_dedup": entities_dedup, "entities_linked": entities_linked, "entity_role_counts": entity_role_counts, "entities_in_documents": entities_in_documents, "structured_fields": structured_fields,
+    "entities_dedup": entities_dedup, "entities_linked": entities_linked, "entity_role_counts": entity_role_counts, "roles_by_type": roles_by_type, "entities_in_documents": entities_in_documents, "structured_fields": structured_fields,
     "render_json": _rendering("json"), "render_csv": _rendering("csv"), "render_markdown": _rendering("markdown"), "document_plan": document_plan, "store_listing": store_listing, "page_addresses": page_addresses,
 }
 ORACLE_SQL = {f"entities_{k}": f'WITH {recognised_sql((k,))} SELECT doc_id, ord, text, start, "end", normalized FROM e' for k in KINDS} | {
     "entities_dedup": DEDUP_SQL, "entities_linked": f"WITH {LINKED_CTES} SELECT {_QUOTED} FROM g", "entity_role_counts": f"WITH {LINKED_CTES} SELECT entity_type, role, count(*) AS n FROM g GROUP BY ALL",
+    "roles_by_type": f"WITH {LINKED_CTES} SELECT document_type, entity_type, role, count(*) AS n FROM g JOIN (SELECT doc_id, document_type FROM ({RULE_TYPES_SQL}) WHERE doc_id < 1000000000) USING (doc_id) GROUP BY ALL",
     "structured_fields": _fields_sql(), "store_listing": STORE_SQL, "page_addresses": PAGES_SQL,
 }
