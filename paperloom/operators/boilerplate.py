@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from paperloom.functions.text import plain_forms, strip, tidy_lines
+from paperloom.shipping import ship_package
 
 EDGE_LINES = 2
 
@@ -48,5 +47,6 @@ def _ascii(texts: pd.Series) -> pd.Series:
 
 def cleaned(text: Column, fix_ocr: bool = True, to_ascii: bool = True) -> Column:
     """Plain forms, ASCII by decomposition, control characters, misread signs, lines and empty lines; empty stays empty."""
+    ship_package(SparkSession.active())
     plain = plain_forms(text)
     return tidy_lines(F.pandas_udf(_ascii, StringType())(plain) if to_ascii else plain, fix_ocr)
