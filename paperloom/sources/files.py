@@ -76,7 +76,7 @@ def valid_upload(doc_id: Column, length: Column) -> Column:
 def read_files(spark: SparkSession, folder: str, recursive: bool = False, pattern: str | None = None, suffixes: list[str] | None = None) -> DataFrame:
     """path, name, file_type, mime_type, document_id, size_mb, length, modificationTime and content of a folder's documents.
 
-    Content is read only where a query uses it or where the type needs its first bytes.
+    Content is read only where a query uses it or where the type needs its first bytes. Files without any bytes aren't listed.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
