@@ -9,16 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.fixed_values import ABBREVIATIONS, ENGLISH_MARKERS, MISREAD, PLAIN_FORMS
+
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 INK = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
 RUN = r"[\p{L}\p{N}_]+"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-#: Titles, Latin and month abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = ("Mrs", "Mr", "Ms", "Prof", "Dr", "Rev", "Jr", "Sr", "i.e", "e.g", "vs", "etc", "no", "fig", "pp", "vol", *"Jan Feb Mar Apr Jun Jul Aug Sep Oct Nov Dec".split())
 DOT = "\u0001"
-ENGLISH_MARKERS = ("a", "and", "for", "in", "is", "it", "of", "that", "the", "to")
-#: What typesetting leaves in extracted text, and its plain form.
-PLAIN_FORMS = {"ﬃ": "ffi", "ﬄ": "ffl", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "—": "--", "–": "-", "“": '"', "”": '"', "‘": "'", "’": "'", " ": " ", "•": "*", "­": ""}
 
 
 def strip(text: Column) -> Column:
@@ -116,7 +113,8 @@ def tidy_lines(text: Column, fix_ocr: bool = True) -> Column:
     """Control characters go, two misread signs are mended, lines are trimmed, and no more than two stay empty in a row."""
     text = F.regexp_replace(text, CONTROL, "")
     if fix_ocr:
-        text = F.replace(F.regexp_replace(text, r"\brn\b", "m"), F.lit("|"), F.lit("I"))
+        for pattern, meant in MISREAD:
+            text = F.regexp_replace(text, pattern, meant)
     lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[ \t]*\n[ \t]*", "\n")
     lines = F.regexp_replace(F.regexp_replace(lines, r"[ \t]+", " "), "\n{4,}", "\n\n\n")
     return strip(lines)

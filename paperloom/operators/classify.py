@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import is_blank, token_count
-from paperloom.functions.vocabulary import DOCUMENT_TYPES, OTHER_THRESHOLD, SIGNATURES, THRESHOLDS, TITLE_HINTS
+from paperloom.functions.fixed_values import DOCUMENT_TYPES, FEATURE_AMOUNT, FEATURE_BLANKS, FEATURE_CHECKBOXES, FEATURE_DATE, OTHER_THRESHOLD, SIGNATURES, THRESHOLDS, TITLE_HINTS
 
 
 def phrase_hits(text: Column, kind: str) -> Column:
@@ -45,16 +45,13 @@ def keyword_features(text: Column) -> list[Column]:
     return [c for k in DOCUMENT_TYPES for c in (phrase_hits(text, k).cast("double").alias(f"keyword_{k}_hits"), (phrase_hits(text, k) / words).alias(f"keyword_{k}_density"))]
 
 
-AMOUNT, DAY, BLANKS, BOXES = r"\$[\d,]+\.?\d*|\d+\.\d{2}", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", "_{5,}", r"\[\s*\]|\(\s*\)"
-
-
 def text_features(text: Column) -> list[Column]:
     """The structural features that need only the text."""
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("double")
     flag = lambda p: text.rlike(p).cast("double")
     return [
-        flag(AMOUNT).alias("struct_has_numbers"), count(AMOUNT).alias("struct_amount_count"), flag(DAY).alias("struct_has_dates"), count(DAY).alias("struct_date_count"),
-        flag(BLANKS).alias("struct_has_blanks"), flag(BOXES).alias("struct_has_checkboxes"), token_count(text).cast("double").alias("struct_total_words"),
+        flag(FEATURE_AMOUNT).alias("struct_has_numbers"), count(FEATURE_AMOUNT).alias("struct_amount_count"), flag(FEATURE_DATE).alias("struct_has_dates"), count(FEATURE_DATE).alias("struct_date_count"),
+        flag(FEATURE_BLANKS).alias("struct_has_blanks"), flag(FEATURE_CHECKBOXES).alias("struct_has_checkboxes"), token_count(text).cast("double").alias("struct_total_words"),
     ]
 
 
@@ -83,7 +80,7 @@ def block_features(blocks: DataFrame, pages: DataFrame, tables: DataFrame | None
 
 def metadata_features(title: Column, keywords: Column) -> list[Column]:
     both = [F.lower(F.coalesce(c, F.lit(""))) for c in (title, keywords)]
-    hit = lambda words: functools.reduce(lambda a, b: a | b, (c.contains(w) for w in words.split() for c in both))
+    hit = lambda words: functools.reduce(lambda a, b: a | b, (c.contains(w) for w in words for c in both))
     return [hit(words).cast("double").alias(f"meta_{k}_title") for k, words in TITLE_HINTS.items()]
 
 

@@ -12,45 +12,9 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.fixed_values import RECOGNISERS, ROLE_CONTEXT, ROLE_LABEL, ROLE_RULES
 from paperloom.functions.spans import spans
 
-_MONTH = "|".join(calendar.month_name[1:])
-_SHORT = "|".join(calendar.month_abbr[1:])
-_MONEY = r"[\d,]+(?:\.\d{1,2})?"
-_CODES = "JPY|AUD|CAD|GBP|EUR|USD"
-_STREET = "Fl|Floor|Ste|Suite|Pl|Place|Ct|Court|Way|Rd|Road|Ln|Lane|Dr|Drive|Blvd|Boulevard|Ave|Avenue|St|Street"
-_FIRM = r"Inc\.|LLC|Ltd\.|Corp\.|Co\.|GmbH|PLC|LLP|LP|AG"
-_ID = r"[\s#-]*:?\s*([A-Z0-9-]{4,20})"
-#: type, confidence, (pattern, whether its first group is the entity); in this order they are recognised
-RECOGNISERS = (
-    ("email", 0.99, ((r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", False),)),
-    ("url", 0.95, ((r"\bhttps?://[^\s<>{}|\\^`\[\]" + '"' + r"]+|www\.[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\S*", False),)),
-    (
-        "date",
-        0.90,
-        tuple(
-            (p, False)
-            for p in (
-                r"\b\d{4}(?:-\d{2}){2}\b",
-                r"\b(?:\d{1,2}/){2}\d{2,4}\b",
-                r"\b(?:\d{1,2}\.){2}\d{4}\b",
-                rf"(?i)\b(?:{_MONTH})\s+\d{{1,2}},?\s+\d{{4}}\b",
-                rf"(?i)\b\d{{1,2}}\s+(?:{_MONTH})\s+\d{{4}}\b",
-                rf"(?i)\b(?:{_SHORT})\.?\s+\d{{1,2}},?\s+\d{{4}}\b",
-            )
-        ),
-    ),
-    ("amount", 0.85, tuple((p, False) for p in (rf"\$\s*{_MONEY}\b", rf"\b(?:{_CODES})\s*{_MONEY}\b", rf"\b{_MONEY}\s*(?:{_CODES})\b", rf"(?:subtotal|total|amount|price|tax)\s*[:\s]\s*\$?{_MONEY}"))),
-    (
-        "phone",
-        0.80,
-        tuple((p, False) for p in (r"\(\d{3}\)\s*\d{3}[.\s-]\d{4}", r"\b(?:\d{3}[.-]){2}\d{4}\b", r"\+\d{1,3}\s\d{1,4}\s\d{3,4}\s\d{4}", r"\b1(?:[.\s-]\d{3}){2}[.\s-]\d{4}\b")),
-    ),
-    ("address", 0.70, ((rf"(?i)\b\d+\s+[A-Z0-9\s,.]+(?:{_STREET})\b[^\n]*", False),)),
-    ("reference_number", 0.80, tuple((p, True) for p in (rf"(?i)(?:invoice|inv){_ID}", rf"(?i)(?:p\.?o\.?|purchase order){_ID}", rf"(?i)(?:reference|ref|case){_ID}", r"(?i)(?:number|no\.|#)\s*([A-Z]?\d{4,12})"))),
-    ("person", 0.75, ((r"\b(?:Lord|Lady|Sir|Rev|Prof|Dr|Mrs|Mr|Ms)\.?(?:\s+[A-Z][a-z]+){1,4}\b", False),)),
-    ("organization", 0.70, ((rf"\b[A-Z][a-zA-Z&\s,.]+(?:{_FIRM})\b", False),)),
-)
 TRIMMED = ("address", "organization")
 ENTITY = "struct<ord:int,text:string,entity_type:string,start:int,end:int,confidence:double,normalized:string>"
 _MONTH_KEY = "".join(m.lower() for m in calendar.month_abbr[1:])
@@ -98,10 +62,10 @@ def normalised(kind: str, text: Column) -> Column:
 def recognised(text: Column, kinds: tuple[str, ...] | None = None) -> Column:
     """All entities of a text in order of recognition (ord), before dedup."""
     arrays = []
-    for kind, confidence, patterns in RECOGNISERS:
+    for kind, confidence, patterns, group in RECOGNISERS:
         if kinds and kind not in kinds:
             continue
-        found = F.concat(*(spans(text, p, g) for p, g in patterns))
+        found = F.concat(*(spans(text, p, group) for p in patterns))
         if kind == "reference_number":
             found = _first_of_each_text(found)
         shown = (lambda x: F.regexp_replace(x["text"], r"^\s+|\s+$", "")) if kind in TRIMMED else (lambda x: x["text"])
@@ -141,56 +105,14 @@ def deduplicated(entities: Column) -> Column:
     return kept
 
 
-#: type role: phrases; the first rule with the entity's type and a phrase in the 60 characters before it names the role
-ROLE_RULES = """
-date invoice_date: billed date; date of invoice; invoice date
-date due_date: due by; payment due; due date
-date issue_date: issued:; issued on; issue date
-date document_date: dated; as of; date:
-amount invoice_total: balance due; grand total; amount due; total
-amount subtotal: net amount; sub-total; subtotal
-amount tax_amount: hst; gst; vat; tax
-amount discount_amount: discount
-amount unit_price: rate; unit cost; unit price
-reference_number invoice_number: invoice #; inv #; invoice no; invoice number
-reference_number po_number: p.o.; po number; purchase order
-person sender: submitted by; signed by; sender:; from:
-person recipient: attention:; addressed to; recipient:; to:
-organization customer: ship to; billed to; bill to
-organization vendor: from:; sold by; supplier; vendor
-date effective_date: start date; commencement date; effective date
-date expiry_date: termination date; end date; expiration date; expiry date
-email contact_email: contact:; e-mail:; email:
-phone contact_phone: mobile:; telephone:; tel:; phone:
-address office_address: office:; located at; address:
-url website: url:; web:; website:
-reference_number case_reference: case number:; reference:; ref:
-person author: written by; prepared by; author:
-organization issuing_org: institution:; company:; organization:
-"""
-
-
-def role_rules() -> list[tuple[str, str, list[str]]]:
-    out = []
-    for line in ROLE_RULES.strip().splitlines():
-        head, _, phrases = line.partition(": ")
-        kind, role = head.split()
-        out.append((kind, role, phrases.split("; ")))
-    return out
-
-
-CONTEXT = 60
-LABEL = r"^([a-z][a-z\s]{1,30}):\s*$"
-
-
 def role_of(context: Column, line: Column, kind: Column) -> Column:
     """A role by rules, else field:<label> where the line before the entity is just a label, else null."""
     out = None
-    for k, role, phrases in role_rules():
+    for phrases, k, role in ROLE_RULES:
         hit = functools.reduce(lambda a, b: a | b, (context.contains(p) for p in phrases))
         out = F.when((kind == k) & hit, role) if out is None else out.when((kind == k) & hit, role)
-    label = F.regexp_replace(F.regexp_extract(line, LABEL, 1), r"\s+$", "")
-    return out.when(line.rlike(LABEL), F.concat(F.lit("field:"), label))
+    label = F.regexp_replace(F.regexp_extract(line, ROLE_LABEL, 1), r"\s+$", "")
+    return out.when(line.rlike(ROLE_LABEL), F.concat(F.lit("field:"), label))
 
 
 _NAMES = ("ord", "text", "entity_type", "start", "end", "confidence", "normalized")
@@ -198,7 +120,7 @@ _NAMES = ("ord", "text", "entity_type", "start", "end", "confidence", "normalize
 
 def _before(text: Column, start: Column) -> tuple[Column, Column]:
     """The 60 characters before an entity and its line up to it, both in lower case."""
-    context = F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
+    context = F.lower(F.substring(text, F.greatest(start - ROLE_CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(ROLE_CONTEXT))))
     return context, F.regexp_replace(F.lower(F.substring_index(F.substring(text, F.lit(1), start), "\n", -1)), r"^\s+|\s+$", "")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import SPACE, is_blank, letter_words, loose_sentences, strip, tokens
-from paperloom.functions.vocabulary import KEYWORD_STOPWORDS
+from paperloom.functions.fixed_values import KEYWORD_STOPWORDS
 
 #: Longest first, so that contractions win over their beginnings.
 STOP_PATTERN = r"(?i)\b(?:" + "|".join(sorted(KEYWORD_STOPWORDS, key=lambda w: (-len(w), w))) + r")\b"

@@ -12,14 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import geometry as G
+from paperloom.functions.fixed_values import BULLET, CAPITAL_WORDS, CAPTION, FOOTER, HEADER_SIZE, HEADING_WORDS, NUMBERED, TITLE_SIZE, USUAL_SIZE
 from paperloom.functions.text import is_blank, strip, token_count
 from paperloom.shipping import ship_package
 
 PAGE = ("doc_id", "page_num")
-FOOTER = r"(?i)page\s+\d+|\bpg\.\s*\d+|\d+\s*/\s*\d+|©|copyright|\bconfidential\b"
-BULLET, NUMBERED = r"^[•‣◦⁃∙*+-]\s+", r"^(?:\d+|[a-zA-Z])[.)]\s+"
-CAPTION = r"(?i)^(?:image|diagram|chart|table|fig\.|figure)\s*[\d:.]"
-TITLE_SIZE, HEADER_SIZE, HEADING_WORDS, CAPITAL_WORDS, USUAL_SIZE = 16.0, 12.0, 15, 8, 11.0
+
 
 
 def dominant_fonts(blocks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import letter_words
-from paperloom.functions.vocabulary import SIMILARITY_STOPWORDS
+from paperloom.functions.fixed_values import SIMILARITY_STOPWORDS
 
 
 def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

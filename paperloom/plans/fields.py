@@ -5,26 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: type: field = roles / entity types; ...
-FIELDS = """
-invoice: vendor = vendor / organization person; customer = customer / organization person; invoice_number = invoice_number / reference_number; invoice_date = invoice_date document_date / date; due_date = due_date / date; subtotal = subtotal / amount; tax = tax_amount / amount; total = invoice_total / amount; po_number = po_number / reference_number; contact_email = contact_email / email; contact_phone = contact_phone / phone
-contract: party_a = sender / organization person; party_b = recipient / organization person; effective_date = effective_date / date; expiry_date = expiry_date / date; reference = case_reference / reference_number
-resume: candidate_name = sender / person; email = contact_email / email; phone = contact_phone / phone; address = office_address / address; website = website / url
-report: author = author / person; issuing_organization = issuing_org / organization; report_date = document_date / date; reference = case_reference / reference_number
-letter: sender = sender / person organization; recipient = recipient / person organization; date = document_date / date; subject = /
-form: submitter = sender / person; date = document_date / date; reference = case_reference / reference_number
-"""
+from paperloom.functions.fixed_values import FIELDS
 
 
 def field_rows() -> list[tuple[str, str, int, list[str], list[str]]]:
-    out = []
-    for line in FIELDS.strip().splitlines():
-        kind, _, rest = line.partition(": ")
-        for i, item in enumerate(rest.split("; ")):
-            name, _, value = item.partition(" = ")
-            roles, _, types = value.partition("/")
-            out.append((kind, name, i, roles.split(), types.split()))
-    return out
+    """document type, field, its place among the type's fields, roles, entity types."""
+    place: dict[str, int] = {}
+    rows = []
+    for kind, name, roles, types in FIELDS:
+        rows.append((kind, name, place.get(kind, 0), list(roles), list(types)))
+        place[kind] = place.get(kind, 0) + 1
+    return rows
 
 
 def field_table(spark: SparkSession) -> DataFrame:

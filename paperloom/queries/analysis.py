@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions.vocabulary import KEYWORD_STOPWORDS, SIMILARITY_STOPWORDS
+from paperloom.functions.fixed_values import KEYWORD_STOPWORDS, SIMILARITY_STOPWORDS
 from paperloom.operators import keywords, similarity, summary
 from paperloom.queries.text import SPACE, sql_loose_sentences, sql_strip, sql_text, sql_tokens, sql_words, table
 from paperloom.sources import render

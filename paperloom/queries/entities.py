@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions import fixed_values
 from paperloom.operators import classify, entities
 from paperloom.plans import documents, fields
 from paperloom.plans.store import DocumentStore, chunk_rows
@@ -65,10 +66,10 @@ def _spans_sql(pattern: str, group: bool) -> str:
 def recognised_sql(kinds: tuple[str, ...] | None = None) -> str:
     """A list of common table expressions that ends in e(doc_id, ord, text, entity_type, start, end, confidence, normalized)."""
     ctes, unions = [f"d AS MATERIALIZED (SELECT doc_id, text AS t FROM ({render.RENDERED_SQL}))"], []
-    for k, (kind, confidence, patterns) in enumerate(entities.RECOGNISERS):
+    for k, (kind, confidence, patterns, g) in enumerate(fixed_values.RECOGNISERS):
         if kinds and kind not in kinds:
             continue
-        union = " UNION ALL ".join(f"SELECT *, {j} AS pat FROM ({_spans_sql(p, g)})" for j, (p, g) in enumerate(patterns))
+        union = " UNION ALL ".join(f"SELECT *, {j} AS pat FROM ({_spans_sql(p, g)})" for j, p in enumerate(patterns))
         shown = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')" if kind in entities.TRIMMED else "text"
         ctes.append(f'k{k} AS MATERIALIZED (SELECT doc_id, pat, i, {shown} AS text, start, "end" FROM ({union}))')
         only = {"reference_number": "QUALIFY row_number() OVER (PARTITION BY doc_id, text ORDER BY pat, i) = 1", "organization": "WHERE length(text) >= 5"}.get(kind, "")
@@ -82,12 +83,12 @@ _DEDUP = """f AS (SELECT * FROM e QUALIFY coalesce(max("end") OVER (PARTITION BY
 
 
 def _roles_sql() -> str:
-    cases = " ".join(f"WHEN entity_type = '{k}' AND ({' OR '.join(f'contains(ctx, {sql_text(p)})' for p in phrases)}) THEN '{role}'" for k, role, phrases in entities.role_rules())
+    cases = " ".join(f"WHEN entity_type = '{k}' AND ({' OR '.join(f'contains(ctx, {sql_text(p)})' for p in phrases)}) THEN '{role}'" for phrases, k, role in fixed_values.ROLE_RULES)
     return f"""
 c AS (SELECT f.*, lower(substr(t, greatest(start - 60, 0) + 1, least(start, 60))) AS ctx,
   regexp_replace(lower(array_to_string(string_split(substr(t, 1, start), chr(10))[-1:], '')), '^\\s+|\\s+$', '', 'g') AS line FROM f JOIN d USING (doc_id)),
 g AS (SELECT doc_id, ord, text, entity_type, start, "end", confidence, normalized, CASE {cases}
-  WHEN regexp_matches(line, '{entities.LABEL}') THEN 'field:' || regexp_replace(regexp_extract(line, '{entities.LABEL}', 1), '\\s+$', '') END AS role FROM c)"""
+  WHEN regexp_matches(line, '{fixed_values.ROLE_LABEL}') THEN 'field:' || regexp_replace(regexp_extract(line, '{fixed_values.ROLE_LABEL}', 1), '\\s+$', '') END AS role FROM c)"""
 
 
 _QUOTED = ", ".join('"end"' if c == "end" else c for c in COLUMNS)
@@ -189,7 +190,7 @@ SELECT page_id, CASE WHEN x = 'pdf' THEN 'pdf' WHEN x IN ('png', 'jpg', 'jpeg',
 FROM s
 """
 
-KINDS = tuple(k for k, *_ in entities.RECOGNISERS)
+KINDS = tuple(k for k, *_ in fixed_values.RECOGNISERS)
 QUERIES = {f"entities_{k}": _of_kind(k) for k in KINDS} | {
     "entities_dedup": entities_dedup, "entities_linked": entities_linked, "entity_role_counts": entity_role_counts, "roles_by_type": roles_by_type, "entities_in_documents": entities_in_documents, "structured_fields": structured_fields,
     "render_json": _rendering("json"), "render_csv": _rendering("csv"), "render_markdown": _rendering("markdown"), "document_plan": document_plan, "store_listing": store_listing, "page_addresses": page_addresses,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions import fixed_values
 from paperloom.functions import geometry as G
 from paperloom.operators import classify, layout, tables
 from paperloom.queries.text import INK, sql_strip, sql_tokens, table
@@ -67,8 +68,8 @@ WITH {BLOCKS}, {FONTS}, {COLS},
 z AS (SELECT b.*, dominant_font, columns, CASE WHEN y0 IS NULL THEN 'body' WHEN (y0 + y1) / 2 <= {HEIGHT} * 0.1::DOUBLE THEN 'header' WHEN (y0 + y1) / 2 >= {HEIGHT} * 0.9::DOUBLE THEN 'footer' ELSE 'body' END AS zone,
   {_T} AS t FROM b JOIN fo USING (doc_id, page_num) JOIN co USING (doc_id, page_num)),
 y AS (SELECT *, len({_TOK}) AS words FROM z),
-r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{INK}') THEN 'paragraph' WHEN zone = 'footer' OR regexp_matches(t, '{layout.FOOTER}') THEN 'footer'
-  WHEN regexp_matches(t, '{layout.BULLET}') OR regexp_matches(t, '{layout.NUMBERED}') THEN 'list_item' WHEN regexp_matches(t, '{layout.CAPTION}') THEN 'caption'
+r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{INK}') THEN 'paragraph' WHEN zone = 'footer' OR regexp_matches(t, '{fixed_values.FOOTER}') THEN 'footer'
+  WHEN regexp_matches(t, '{fixed_values.BULLET}') OR regexp_matches(t, '{fixed_values.NUMBERED}') THEN 'list_item' WHEN regexp_matches(t, '{fixed_values.CAPTION}') THEN 'caption'
   WHEN size >= 16 AND words <= 15 THEN CASE WHEN size > dominant_font * 1.5::DOUBLE THEN 'title' ELSE 'header' END WHEN size >= 12 AND words <= 15 THEN 'header' WHEN zone = 'header' AND words <= 15 THEN 'header'
   WHEN words <= 8 AND upper(t) = t AND lower(t) <> t THEN 'header' ELSE 'paragraph' END AS block_type,
   CASE WHEN columns <= 1 THEN 0 ELSE coalesce(least(CAST(floor((x0 + x1) / 2 / ({WIDTH} / columns)) AS INTEGER), columns - 1), 0) END AS col FROM y)

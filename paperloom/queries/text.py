@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions import fixed_values
 from paperloom.functions import text as T
-from paperloom.functions.vocabulary import DOCUMENT_TYPES, OTHER_THRESHOLD, SIGNATURES, THRESHOLDS
+from paperloom.functions.fixed_values import DOCUMENT_TYPES, OTHER_THRESHOLD, SIGNATURES, THRESHOLDS
 from paperloom.operators import boilerplate, classify, keywords
 from paperloom.sources import render
 
@@ -39,7 +40,7 @@ def sql_pieces(marked: str) -> str:
 
 def sql_sentences(x: str) -> str:
     held = x
-    for a in T.ABBREVIATIONS:
+    for a in fixed_values.ABBREVIATIONS:
         held = f"replace({held}, '{a}.', '{a}' || chr(1))"
     cut = f"regexp_replace({held}, '([.!?]){SPACE}+([A-Z\"''])', '\\1' || chr(2) || '\\2', 'g')"
     return f"list_transform({sql_pieces(cut)}, lambda s: replace(s, chr(1), '.'))"
@@ -54,7 +55,7 @@ def sql_paragraphs(x: str) -> str:
 
 
 def sql_plain_forms(x: str) -> str:
-    for a, b in T.PLAIN_FORMS.items():
+    for a, b in fixed_values.PLAIN_FORMS.items():
         x = f"replace({x}, chr({ord(a)}), {sql_text(b)})"
     return x
 
@@ -95,7 +96,7 @@ def language_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source", "language").agg(F.count("*").alias("n"))
 
 
-_MARKERS = ", ".join(f"'{m}'" for m in T.ENGLISH_MARKERS if len(m) > 1)
+_MARKERS = ", ".join(f"'{m}'" for m in fixed_values.ENGLISH_MARKERS if len(m) > 1)
 LANGUAGE_SQL = f"SELECT source, CASE WHEN len(list_intersect({sql_words('coalesce(text, chr(32))', 2)}, [{_MARKERS}])) >= 3 THEN 'en' ELSE 'unknown' END AS language, count(*) AS n FROM documents GROUP BY ALL"
 
 
@@ -201,10 +202,10 @@ def structure_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _structure_sql() -> str:
     count = lambda p: f"CAST(len(regexp_extract_all(text, '{p}')) AS DOUBLE)"
     flag = lambda p: f"CAST(regexp_matches(text, '{p}') AS DOUBLE)"
-    meta = ", ".join("CAST((" + " OR ".join(f"contains(title, '{w}')" for w in words.split()) + f") AS DOUBLE) AS meta_{k}_title" for k, words in classify.TITLE_HINTS.items())
+    meta = ", ".join("CAST((" + " OR ".join(f"contains(title, '{w}')" for w in words) + f") AS DOUBLE) AS meta_{k}_title" for k, words in fixed_values.TITLE_HINTS.items())
     return f"""
-SELECT doc_id, {flag(classify.AMOUNT)} AS struct_has_numbers, {count(classify.AMOUNT)} AS struct_amount_count, {flag(classify.DAY)} AS struct_has_dates, {count(classify.DAY)} AS struct_date_count,
-  {flag(classify.BLANKS)} AS struct_has_blanks, {flag(classify.BOXES)} AS struct_has_checkboxes, CAST(len({sql_tokens('text')}) AS DOUBLE) AS struct_total_words, {meta}
+SELECT doc_id, {flag(fixed_values.FEATURE_AMOUNT)} AS struct_has_numbers, {count(fixed_values.FEATURE_AMOUNT)} AS struct_amount_count, {flag(fixed_values.FEATURE_DATE)} AS struct_has_dates, {count(fixed_values.FEATURE_DATE)} AS struct_date_count,
+  {flag(fixed_values.FEATURE_BLANKS)} AS struct_has_blanks, {flag(fixed_values.FEATURE_CHECKBOXES)} AS struct_has_checkboxes, CAST(len({sql_tokens('text')}) AS DOUBLE) AS struct_total_words, {meta}
 FROM (SELECT *, lower(split_part(text, chr(10), 1)) AS title FROM ({render.RENDERED_SQL}))
 """
 

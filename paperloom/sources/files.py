@@ -9,10 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: First bytes in hexadecimal, and what they show.
-SIGNATURES = {"25504446": "pdf", "89504E47": "image", "FFD8FF": "image", "474946383761": "image", "474946383961": "image", "424D": "image", "49492A00": "image", "4D4D002A": "image", "52494646": "image"}
-IMAGE_SUFFIXES = "bmp gif jpeg jpg png tif tiff webp".split()
-SUFFIXES = {"pdf": "pdf", **dict.fromkeys(IMAGE_SUFFIXES, "image")}
+from paperloom.functions.fixed_values import MAGIC_BYTES, SUFFIXES
+
 MIME = {
     "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff", "bmp": "image/bmp", "gif": "image/gif", "webp": "image/webp",
     "txt": "text/plain", "csv": "text/csv", "html": "text/html", "htm": "text/html", "json": "application/json", "xml": "text/xml", "md": "text/markdown", "zip": "application/zip", "doc": "application/msword",
@@ -37,8 +35,9 @@ def file_type(path: Column, content: Column | None = None) -> Column:
         return by_name
     head = F.hex(F.substring(content, 1, 16))
     out = None
-    for mark, kind in SIGNATURES.items():
-        out = F.when(head.startswith(mark), kind) if out is None else out.when(head.startswith(mark), kind)
+    for mark, kind in MAGIC_BYTES:
+        hit = head.startswith(mark.hex().upper())
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise(by_name)
 
 
