@@ -29,7 +29,7 @@ from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.shipping import scratch_path, ship_package, written
@@ -144,12 +144,15 @@ class LoserTree:
             self._play(i, False)
 
 
+def payload_sha1(html: Column) -> Column:
+    return F.sha1(F.coalesce(html, F.lit("")).cast("binary"))
+
+
 def first_captures(pages: DataFrame, minimum_revisit_size: int = 0, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """page_id and refers_to of the pages that repeat another's payload of at least so many bytes; a stored table."""
-    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(page_id).alias("page_id"), F.sha1(payload).alias("digest"), F.length(payload).alias("n")).filter((F.col("n") >= minimum_revisit_size) & F.col("page_id").isNotNull())
+    """page_id, digest and refers_to of the pages that repeat another's payload of at least so many bytes; a stored table."""
+    rows = pages.select(F.col(page_id).alias("page_id"), payload_sha1(F.col(html)).alias("digest"), F.octet_length(F.coalesce(F.col(html), F.lit(""))).alias("n")).filter((F.col("n") >= minimum_revisit_size) & F.col("page_id").isNotNull())
     first = rows.groupBy("digest", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1")
-    return written(rows.join(first, ["digest", "n"]).filter("page_id <> refers_to").select("page_id", "refers_to").distinct(), "revisits")
+    return written(rows.join(first, ["digest", "n"]).filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct(), "revisits")
 
 
 def write_archives(pages: DataFrame, folder: str, minimum_revisit_size: int = 0, segment_bytes: int = 32 << 20, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -158,7 +161,8 @@ def write_archives(pages: DataFrame, folder: str, minimum_revisit_size: int = 0,
     ship_package(spark)
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     revisits = first_captures(rows, minimum_revisit_size)
-    joined = rows.join(revisits, "page_id", "left").select("page_id", "url", "html", "refers_to")
+    # the digest too: rows with one id can have different payloads
+    joined = rows.withColumn("digest", payload_sha1(F.col("html"))).join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)

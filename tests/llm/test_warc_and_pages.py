@@ -12,7 +12,7 @@ from paperloom.shipping import scratch_path
 
 PAGES = [
     (1, "http://a.example/x", "<p>same</p>"), (2, "http://b.example/y?b=2&a=1#f", "<p>same</p>"), (3, "http://a.example/x", None), (4, None, ""), (5, "", "é\r\n\r\nWARC/1.1\r\n\r\n😀"),
-    (6, "http://[broken", "<p>same</p>"), (7, "http://a.example/\r\nX: y", "x" * 300_000), (8, "https://www.A.example:8080/P/", "long"), (8, "https://www.A.example:8080/P/", "long"),
+    (6, "http://[broken", "<p>same</p>"), (7, "http://a.example/\r\nX: y", "x" * 300_000), (8, "https://www.A.example:8080/P/", "long"), (8, "https://www.A.example:8080/P/", "long"), (8, "https://c.example/", "<p>same</p>"),
 ]
 
 
