@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators import classify, entities, keywords, summary
+from paperloom.operators import classify, entities, keywords, layout, summary
 from paperloom.plans import fields
 
 
@@ -15,8 +15,10 @@ from paperloom.plans import fields
 class Options:
     """What a run does; unknown names in a mapping are ignored, invalid values give the defaults."""
 
+    run_layout: bool = True
     run_classification: bool = True
     run_entities: bool = True
+    run_linking: bool = True
     run_summary: bool = True
     run_keywords: bool = True
     summary_sentences: int = 5
@@ -49,13 +51,43 @@ class Options:
             yaml.safe_dump(dataclasses.asdict(self), file)
 
 
-def run(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, classification, entities, structured_fields, summary, keywords; what isn't asked for isn't planned and is null.
+#: What a result has besides its id, and the type of each.
+ENTITY = "struct<ord:int,text:string,entity_type:string,start:int,end:int,confidence:double,normalized:string,role:string>"
+RESULT = {
+    "source_path": "string", "file_type": "string", "page_count": "int", "metadata": "map<string,string>",
+    "classification": "struct<document_type:string,confidence:double,all_scores:map<string,double>,features_used:array<string>>",
+    "entities": f"array<{ENTITY}>", "structured_fields": "array<struct<field_ord:int,field_name:string,field_values:array<string>>>",
+    "tables": "array<struct<page_num:int,headers:array<string>,rows:array<array<string>>>>", "summary": "string", "keywords": "array<string>",
+}
 
+
+def texts_of_blocks(blocks: DataFrame) -> DataFrame:
+    """doc_id, text, page_count: the blocks of a page that aren't blank, line by line; pages are parted by an empty line.
+
+    The order is that of extraction: entities, summaries and keywords don't depend on the layout that is found later.
+    """
+    page = F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("block_idx", "text"))), lambda b: b["text"].rlike(r"\S")), lambda b: b["text"]), "\n")
+    pages = blocks.groupBy("doc_id", "page_num").agg(page.alias("t"))
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "t"))), lambda p: p["t"]), "\n\n").alias("text"), F.count("*").cast("int").alias("page_count"))
+
+
+def ordered_blocks(blocks: DataFrame, pages: DataFrame, options: Options = Options()) -> DataFrame:
+    """The blocks with their roles and their place on the page (reading_order): that of extraction without the layout step."""
+    if options.run_layout:
+        return layout.analysed(blocks, pages)
+    place = Window.partitionBy("doc_id", "page_num").orderBy("block_idx")
+    return blocks.withColumn("reading_order", F.row_number().over(place) - 1)
+
+
+def run(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", text: str = "text", tables: DataFrame | None = None) -> DataFrame:
+    """doc_id and the columns of RESULT; what isn't asked for isn't planned and is null.
+
+    docs can have source_path, file_type, page_count and metadata, which are passed on. tables: doc_id, page_num, headers, rows.
     The parts depend on the text alone and meet by document id.
     """
+    passed = [c for c in ("source_path", "file_type", "page_count", "metadata") if c in docs.columns and c not in (doc_id, text)]
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = base.select("doc_id")
+    out = docs.select(F.col(doc_id).alias("doc_id"), *passed)
     kinds = None
     if options.run_classification:
         if options.use_model:
@@ -66,37 +98,59 @@ def run(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", t
             kinds = classify.rule_classified(base).select("doc_id", F.struct("document_type", "confidence", "all_scores", "features_used").alias("classification"))
         out = out.join(kinds, "doc_id", "left")
     if options.run_entities:
-        e = base.select("doc_id", entities.linked(F.col("text"), entities.deduplicated(entities.recognised(F.col("text")))).alias("entities"))
+        found = entities.deduplicated(entities.recognised(F.col("text")))
+        unlinked = F.transform(found, lambda e: F.struct(*(e[n].alias(n) for n in ("ord", "text", "entity_type", "start", "end", "confidence", "normalized")), F.lit(None).cast("string").alias("role")))
+        e = base.select("doc_id", (entities.linked(F.col("text"), found) if options.run_linking else unlinked).alias("entities"))
         out = out.join(e, "doc_id", "left")
         if kinds is not None:
             rows = e.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*")
             made = fields.structured_fields(kinds.select("doc_id", "classification.document_type"), rows)
             value = F.struct("field_ord", "field_name", "field_values")
             out = out.join(made.groupBy("doc_id").agg(F.array_sort(F.collect_list(value)).alias("structured_fields")), "doc_id", "left")
+    if tables is not None:
+        row = F.struct("page_num", F.col("headers").cast("array<string>").alias("headers"), F.col("rows").cast("array<array<string>>").alias("rows"))
+        out = out.join(tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("tables")), "doc_id", "left")
     if options.run_summary:
         out = out.join(summary.summaries(base, options.summary_sentences), "doc_id", "left")
     if options.run_keywords:
         k = keywords.keywords(base, options.top_keywords).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
         out = out.join(k, "doc_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
-    empty = {"classification": None, "entities": None, "structured_fields": None, "summary": None, "keywords": None}
-    for name in empty:
-        if name not in out.columns:
-            out = out.withColumn(name, F.lit(None).cast({"summary": "string", "keywords": "array<string>"}.get(name, "string")))
-    return out.select("doc_id", *empty)
+    return out.select("doc_id", *((F.col(c) if c in out.columns else F.lit(None)).cast(kind).alias(c) for c, kind in RESULT.items()))
+
 
+def _json(c: Column) -> Column:
+    """One value as JSON, null too."""
+    listed = F.to_json(F.array(c), {"ignoreNullFields": "false"})
+    return listed.substr(F.lit(2), F.length(listed) - 2)
 
-def as_json(result: DataFrame, pretty: bool = False) -> DataFrame:
-    """doc_id, json: a field with one value is that value, with none null, with more a list."""
-    shown = F.concat(F.lit("{"), F.array_join(F.transform("structured_fields", lambda f: F.concat(F.to_json(F.array(f["field_name"])).substr(F.lit(2), F.length(F.to_json(F.array(f["field_name"]))) - 2), F.lit(":"), _scalar_or_list(f["field_values"]))), ","), F.lit("}"))
-    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
-    rest = F.to_json(F.struct("classification", "entities", "summary", "keywords"), options)
-    head = F.concat(F.lit('{"document_id":'), F.to_json(F.array(F.col("doc_id").cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col("doc_id").cast("string")))) - 2))
-    return result.select("doc_id", F.concat(head, F.lit(',"structured_fields":'), F.coalesce(shown, F.lit("{}")), F.lit(","), F.substring(rest, F.lit(2), F.length(rest))).alias("json"))
+
+def _object(items: list[tuple[str, Column]]) -> Column:
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{name}":'), value) for name, value in items)), F.lit("}"))
 
 
 def _scalar_or_list(values: Column) -> Column:
-    text = F.to_json(values)
-    return F.when(F.size(values) == 0, "null").when(F.size(values) == 1, text.substr(F.lit(2), F.length(text) - 2)).otherwise(text)
+    return F.when(F.size(values) == 0, F.lit("null")).when(F.size(values) == 1, _json(F.get(values, F.lit(0)))).otherwise(F.to_json(values))
+
+
+def as_json(result: DataFrame) -> DataFrame:
+    """doc_id, json: twelve keys. A field with one value is that value, with none null, with more a list.
+
+    Documents aren't timed one by one in a distributed plan, so processing_time_ms is 0, and a plan that runs has no errors.
+    """
+    shown = F.concat(F.lit("{"), F.array_join(F.transform("structured_fields", lambda f: F.concat(_json(f["field_name"]), F.lit(":"), _scalar_or_list(f["field_values"]))), ","), F.lit("}"))
+    role = lambda e: F.when(e["role"].isNotNull(), F.create_map(F.lit("role"), e["role"])).otherwise(F.create_map().cast("map<string,string>"))
+    entity = lambda e: F.struct(*(e[n].alias(n) for n in ("text", "entity_type", "start", "end", "confidence", "normalized")), role(e).alias("metadata"))
+    table = lambda t: F.struct(
+        t["headers"].alias("headers"), t["rows"].alias("rows"), F.size(t["rows"]).alias("num_rows"),
+        F.coalesce(F.array_max(F.transform(t["rows"], lambda r: F.size(r))), F.lit(0)).alias("num_cols"), t["page_num"].alias("page_num"),
+    )
+    listed = lambda c: F.coalesce(F.to_json(c, {"ignoreNullFields": "false"}), F.lit("[]"))
+    items = [
+        ("document_id", _json(F.col("doc_id").cast("string"))), ("source_path", _json(F.col("source_path"))), ("file_type", _json(F.col("file_type"))), ("page_count", _json(F.coalesce("page_count", F.lit(0)))),
+        ("classification", _json(F.col("classification"))), ("structured_fields", F.coalesce(shown, F.lit("{}"))), ("entities", listed(F.transform("entities", entity))), ("tables", listed(F.transform("tables", table))),
+        ("summary", _json(F.col("summary"))), ("keywords", listed(F.col("keywords"))), ("processing_time_ms", F.lit("0.0")), ("errors", F.lit("[]")),
+    ]
+    return result.select("doc_id", _object(items).alias("json"))
 
 
 def _quoted(c: Column) -> Column:
@@ -104,28 +158,53 @@ def _quoted(c: Column) -> Column:
     return F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
+def _numbered(tables: Column, use) -> Column:
+    """The lines that use(table, its number from 1) gives for each table, in one array."""
+    return F.coalesce(F.flatten(F.transform(tables, lambda t, i: use(t, i + 1))), F.array().cast("array<string>"))
+
+
 def as_csv(result: DataFrame) -> DataFrame:
-    """doc_id, csv: a title, a header and a row per entity, with CRLF line ends."""
+    """doc_id, csv: a title, a header and a row per entity, then a title and the rows of each table, with CRLF line ends."""
     row = lambda e: F.concat_ws(",", *(_quoted(c) for c in (e["entity_type"], e["text"], e["normalized"], F.format_string("%.2f", e["confidence"]), e["start"], e["end"], e["role"])))
     head = F.array(F.lit("=== ENTITIES ==="), F.lit("type,text,normalized,confidence,start,end,role"))
-    return result.select("doc_id", F.concat(F.array_join(F.concat(head, F.transform("entities", row)), "\r\n"), F.lit("\r\n")).alias("csv"))
+    cells = lambda r: F.array_join(F.transform(r, _quoted), ",")
+
+    def section(t: Column, i: Column) -> Column:
+        title = F.format_string("=== TABLE %d (page %d) ===", i, t["page_num"])
+        return F.concat(F.array(F.lit(""), title), F.when(F.size(t["headers"]) > 0, F.array(cells(t["headers"]))).otherwise(F.array().cast("array<string>")), F.transform(t["rows"], cells))
+
+    lines = F.concat(head, F.coalesce(F.transform("entities", row), F.array().cast("array<string>")), _numbered(F.col("tables"), section))
+    return result.select("doc_id", F.concat(F.array_join(lines, "\r\n"), F.lit("\r\n")).alias("csv"))
 
 
 def as_markdown(result: DataFrame) -> DataFrame:
-    """doc_id, markdown: sections that have nothing are left out."""
+    """doc_id, markdown: sections that have nothing are left out; scores from the highest, ties in the order of types."""
     percent = lambda c, d: F.format_string(f"%.{d}f%%%%", c * 100)
-    scores = F.transform(F.array_sort(F.transform(F.map_entries("classification.all_scores"), lambda x: F.struct((-x["value"]).alias("o"), x["key"].alias("k")))), lambda x: F.concat(F.lit("| "), x["k"], F.lit(" | "), percent(-x["o"], 1), F.lit(" |")))
+    ordered = F.array_sort(F.transform(F.map_entries("classification.all_scores"), lambda x, i: F.struct((-x["value"]).alias("o"), i.alias("i"), x["key"].alias("k"))))
+    scores = F.transform(ordered, lambda x: F.concat(F.lit("| "), x["k"], F.lit(" | "), percent(-x["o"], 1), F.lit(" |")))
     cell = lambda c: F.coalesce(c, F.lit(""))
     entity = lambda e: F.concat(F.lit("| "), F.concat_ws(" | ", e["entity_type"], e["text"], cell(e["normalized"]), cell(e["role"]), percent(e["confidence"], 0)), F.lit(" |"))
+    bars = lambda r: F.concat(F.lit("| "), F.array_join(r, " | ", ""), F.lit(" |"))
     section = lambda title, *parts: F.concat_ws("\n", F.lit(f"## {title}"), F.lit(""), *parts, F.lit(""))
+
+    def table(t: Column, i: Column) -> Column:
+        headers = F.when(F.size(t["headers"]) > 0, F.array(bars(t["headers"]), F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(t["headers"]))))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array(F.format_string("### Table %d (page %d)", i, t["page_num"]), F.lit("")), headers, F.transform(t["rows"], bars), F.array(F.lit("")))
+
+    known = F.filter(F.map_entries("metadata"), lambda m: F.coalesce(m["value"], F.lit("")) != "")
+    name = F.coalesce("source_path", F.col("doc_id").cast("string"))
     return result.select(
         "doc_id",
         F.concat_ws(
-            "\n", F.concat(F.lit("# Document: "), F.col("doc_id").cast("string")), F.lit(""),
+            "\n", F.concat(F.lit("# Document: "), name), F.lit(""),
+            F.concat(F.lit("**Document ID:** `"), F.col("doc_id").cast("string"), F.lit("`  ")), F.concat(F.lit("**File type:** "), F.coalesce("file_type", F.lit("")), F.lit("  ")),
+            F.concat(F.lit("**Pages:** "), F.coalesce("page_count", F.lit(0)).cast("string"), F.lit("  ")), F.lit("**Processing time:** 0.0 ms"), F.lit(""),
             F.when(F.col("classification").isNotNull(), section("Classification", F.concat(F.lit("**Type:** "), F.col("classification.document_type"), F.lit("  ")), F.concat(F.lit("**Confidence:** "), percent(F.col("classification.confidence"), 1)), F.lit(""), F.lit("| Document Type | Score |"), F.lit("|---|---|"), F.array_join(scores, "\n"))),
             F.when(F.col("summary") != "", section("Summary", F.col("summary"))),
             F.when(F.size("keywords") > 0, section("Keywords", F.array_join(F.transform("keywords", lambda k: F.concat(F.lit("`"), k, F.lit("`"))), ", "))),
             F.when(F.size("entities") > 0, section("Entities", F.lit("| Type | Text | Normalized | Role | Confidence |"), F.lit("|---|---|---|---|---|"), F.array_join(F.transform("entities", entity), "\n"))),
+            F.when(F.size("tables") > 0, F.concat_ws("\n", F.lit("## Tables"), F.array_join(_numbered(F.col("tables"), table), "\n"))),
+            F.when(F.size(F.map_keys("metadata")) > 0, section("Metadata", F.array_join(F.transform(known, lambda m: F.concat(F.lit("- **"), m["key"], F.lit(":** "), m["value"])), "\n"))),
         ).alias("markdown"),
     )
 

@@ -290,6 +290,8 @@ def test_plan_and_formats(spark):
     assert csv[2] == "=== ENTITIES ===\r\ntype,text,normalized,confidence,start,end,role\r\n" and "0.90" in csv[1]
     md = {r.doc_id: r.markdown for r in documents.formatted(out, "markdown").collect()}
     assert "**Type:** invoice" in md[1] and "## Keywords" not in md[2]
+    assert list(made[2]) == ["document_id", "source_path", "file_type", "page_count", "classification", "structured_fields", "entities", "tables", "summary", "keywords", "processing_time_ms", "errors"]
+    assert made[2]["tables"] == [] and made[1]["entities"][0]["metadata"].keys() <= {"role"} and made[2]["source_path"] is None
     with pytest.raises(ValueError):
         documents.formatted(out, "xml")
     only = documents.run(df, documents.Options(run_entities=False, run_summary=False, run_keywords=False)).first()
@@ -297,6 +299,25 @@ def test_plan_and_formats(spark):
     assert documents.Options.of({"top_keywords": 0, "x": 1}) == documents.Options() and documents.Options.load("/none") == documents.Options()
 
 
+def test_tables_and_metadata_in_formats(spark):
+    docs = spark.createDataFrame([("d", "", "/x/a.pdf", "pdf", 2, {"title": "T", "author": ""})], "doc_id string, text string, source_path string, file_type string, page_count int, metadata map<string,string>")
+    tables = spark.createDataFrame([("d", 2, ["Item", "Qty"], [["a, b", "1"], ["c", None]]), ("d", 1, None, [['say "x"']])], "doc_id string, page_num int, headers array<string>, rows array<array<string>>")
+    out = documents.run(docs, documents.Options(run_linking=False), tables=tables)
+    import json
+
+    made = json.loads(documents.formatted(out, "json").first().json)
+    assert [(t["page_num"], t["num_rows"], t["num_cols"]) for t in made["tables"]] == [(1, 1, 1), (2, 2, 2)] and made["source_path"] == "/x/a.pdf" and made["page_count"] == 2
+    lines = documents.formatted(out, "csv").first().csv.split("\r\n")
+    assert lines[2:] == ["", "=== TABLE 1 (page 1) ===", '"say ""x"""', "", "=== TABLE 2 (page 2) ===", "Item,Qty", '"a, b",1', "c,", ""]
+    md = documents.formatted(out, "markdown").first().markdown
+    assert "# Document: /x/a.pdf" in md and "### Table 2 (page 2)\n\n| Item | Qty |\n|---|---|\n| a, b | 1 |\n| c |  |\n" in md and "- **title:** T" in md and "author" not in md
+
+
+def test_texts_of_blocks(spark):
+    blocks = spark.createDataFrame([("d", 2, 0, "c"), ("d", 1, 1, "b"), ("d", 1, 0, "a"), ("d", 1, 2, " ")], "doc_id string, page_num int, block_idx int, text string")
+    assert tuple(documents.texts_of_blocks(blocks).first()) == ("d", "a\nb\n\nc", 2)
+
+
 def test_store(spark, tmp_path):
     store = DocumentStore(spark, f"file://{tmp_path}/store")
     assert store.count() == 0
