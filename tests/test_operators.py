@@ -318,6 +318,16 @@ def test_texts_of_blocks(spark):
     assert tuple(documents.texts_of_blocks(blocks).first()) == ("d", "a\nb\n\nc", 2)
 
 
+def test_command_line(spark, tmp_path):
+    from paperloom.__main__ import main
+
+    spark.createDataFrame([(1, TYPED["invoice"]), (2, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/docs.parquet")
+    assert main(["classify", f"{tmp_path}/docs.parquet", "--out", f"{tmp_path}/types"]) == 0
+    assert {r.doc_id: r.document_type for r in spark.read.parquet(f"{tmp_path}/types").collect()} == {1: "invoice", 2: "unknown"}
+    assert main(["extract", f"{tmp_path}/docs.parquet", "--output", "csv", "--out", f"{tmp_path}/csv"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/csv").count() == 2
+
+
 def test_store(spark, tmp_path):
     store = DocumentStore(spark, f"file://{tmp_path}/store")
     assert store.count() == 0
