@@ -359,7 +359,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     found = host_templates(rows).groupBy("host").agg(F.collect_list(F.struct("path", "text_hash")).alias("template"))
     found = written(found, "templates")
-    n = found.limit(BROADCAST_TEMPLATES + 1).count()
+    n = found.agg(F.sum(F.size("template"))).first()[0] or 0
     rows = rows.withColumn("host", F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)))
     if n:
         rows = rows.join(F.broadcast(found) if n <= BROADCAST_TEMPLATES else found, "host", "left")
