@@ -13,7 +13,7 @@ from paperloom.functions import text as T
 from paperloom.operators import boilerplate, classify, entities, keywords, layout, similarity, summary, tables
 from paperloom.plans import documents
 from paperloom.plans.store import DocumentStore, chunk_rows
-from paperloom.sources import files, pixels
+from paperloom.sources import files, ocr, pixels
 from paperloom.streaming import ingest
 
 
@@ -299,6 +299,20 @@ def test_plan_and_formats(spark):
     assert documents.Options.of({"top_keywords": 0, "x": 1}) == documents.Options() and documents.Options.load("/none") == documents.Options()
 
 
+def test_words_of_pages(spark, tmp_path):
+    def read(page):
+        if page.shape == (1, 1):
+            raise ValueError("nothing there")
+        return {k: [1, 1] for k in ocr.WORD_FIELDS} | {"text": ["a", "b"], "conf": ["96.5", "-1"]}
+
+    rows = ocr.word_rows("d", iter([np.zeros((1, 1), np.uint8), np.zeros((9, 9), np.uint8)]), read, True)
+    assert [(r[1], r[2], r[-2], r[-1]) for r in rows] == [(2, 0, 96, "a"), (2, 1, -1, "b")]
+    if not files.capabilities()["ocr"]:
+        (tmp_path / "a.png").write_bytes(b"\x89PNG....")
+        with pytest.raises(RuntimeError):
+            ocr.ocr_words(files.read_files(spark, str(tmp_path)))
+
+
 def test_tables_and_metadata_in_formats(spark):
     docs = spark.createDataFrame([("d", "", "/x/a.pdf", "pdf", 2, {"title": "T", "author": ""})], "doc_id string, text string, source_path string, file_type string, page_count int, metadata map<string,string>")
     tables = spark.createDataFrame([("d", 2, ["Item", "Qty"], [["a, b", "1"], ["c", None]]), ("d", 1, None, [['say "x"']])], "doc_id string, page_num int, headers array<string>, rows array<array<string>>")
