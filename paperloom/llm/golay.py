@@ -206,23 +206,24 @@ def _links(key: np.ndarray, fp: np.ndarray, most: int, small_run: int = SMALL_RU
 
 
 def linked_fingerprints(distinct: DataFrame, most: int, words: int, keys: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], small_run: int = SMALL_RUN, keyed: int = 1) -> DataFrame:
-    """Pairs (a, b) of nodes within `most` bits of all words; keys are those of the first `keyed` words. distinct: node, fp0, ..
-    with each fingerprint once.
+    """Pairs (a, b) of nodes within `most` bits of the first `words` words; keys are those of the first `keyed` words, which
+    can be more. distinct: node, fp0, .. with each fingerprint once.
 
     Not every pair of a large group is returned, but enough pairs that it stays connected.
     """
     spark = distinct.sparkSession
     ship_package(spark)
     names = [f"fp{k}" for k in range(words)]
+    read = max(words, keyed)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                columns = [part.column(i).to_numpy(zero_copy_only=False) for i in range(1 + words)]
+                columns = [part.column(i).to_numpy(zero_copy_only=False) for i in range(1 + read)]
                 for k in range(keyed):
                     row, key = keys(columns[1 + k].view(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(key * keyed + k), *(pa.array(c[row]) for c in columns)], names=["key", "node", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(key * keyed + k), *(pa.array(c[row]) for c in columns[: 1 + words])], names=["key", "node", *names])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -253,7 +254,7 @@ def linked_fingerprints(distinct: DataFrame, most: int, words: int, keys: Callab
             yield out
 
     long = ", ".join(f"{k} bigint" for k in names)
-    exploded = distinct.select("node", *names).mapInArrow(explode, f"key bigint, node bigint, {long}")
+    exploded = distinct.select("node", *(f"fp{k}" for k in range(read))).mapInArrow(explode, f"key bigint, node bigint, {long}")
     sorted_ = exploded.repartition("key").sortWithinPartitions("key", "node")
     return sorted_.mapInArrow(compare, "a bigint, b bigint").distinct()
 
@@ -264,8 +265,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round each node takes the smallest label among its neighbours' and the label of its label. Rounds go on until
     nothing changes; their number grows with the logarithm of a component's extent.
     """
-    edges = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
-    both = written(edges.union(edges.select("b", "a")), "edges")
+    a, b = F.col("a").cast("bigint"), F.col("b").cast("bigint")
+    ways = F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b")))
+    both = written(edges.select(F.explode(ways).alias("e")).select("e.a", "e.b"), "edges")
     labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")).withColumnRenamed("a", "node"), "labels")
     while True:
         # hooking: the smallest label among neighbours, also for the node's current label
@@ -301,24 +303,26 @@ def near_duplicate_groups(docs: DataFrame, width: int = 4, most: int = 4, doc_id
     return prints.join(named, "fp0").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of a wide fingerprint, those of them with keys, and the most bits in which candidates differ: more than texts with
-#: 80 % of their shingles in common differ in, but for one in two hundred (39 on average, deviation 6).
-WIDE_WORDS, WIDE_KEYED, CANDIDATE_BITS = 4, 2, 54
+#: Words of a wide fingerprint, and the most bits in which candidates differ: more than texts with 80 % of their shingles in
+#: common differ in, but for one in forty (29 on average, deviation 5).
+WIDE_WORDS, CANDIDATE_BITS = 3, 39
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near copies, the one with the smallest id, with all its columns.
 
-    Candidates differ in at most CANDIDATE_BITS of four 64-bit fingerprints; keys are those of each pair of segments of two, which
-    find 93 % of the pairs whose similarity is just 0.8 and 99 % of those from 0.9 (measured). Every candidate is verified on
-    the sets of its shingles (Jaccard similarity). Texts without words are near copies of nothing. Rows without an id stay.
+    Candidates differ in at most CANDIDATE_BITS of three 64-bit fingerprints and share a key of a pair of segments of one of them;
+    of a table's 2 860 near copies, most in one large group, that missed 18 (measured against a banded index). Candidates are verified on the
+    sets of their shingles (Jaccard similarity), in two passes: first each document with its smallest candidate, then all
+    others that don't lie in one group already, whose links would change nothing. Texts without words are near copies of
+    nothing. Rows without an id stay.
     """
     spark = docs.sparkSession
     prints = written(fingerprints(docs.filter(F.col(doc_id).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]")), width, WIDE_WORDS, doc_id, text), "fingerprints")
     wide = [f"fp{k}" for k in range(WIDE_WORDS)]
     distinct = prints.groupBy(*wide).agg(F.min("doc_id").alias("node"))
     same = prints.join(distinct, wide).filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    edges = written(linked_fingerprints(distinct, CANDIDATE_BITS, WIDE_WORDS, keys_of_pairs, small_run=8, keyed=WIDE_KEYED).union(same).distinct(), "candidates")
+    edges = written(linked_fingerprints(distinct, CANDIDATE_BITS, WIDE_WORDS, keys_of_pairs, small_run=8, keyed=WIDE_WORDS).union(same).distinct(), "candidates")
     involved = written(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "ids")
     texts = filter_by_ids(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", involved, keep=True)
 
@@ -340,7 +344,16 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     shingles = written(texts.mapInArrow(sets, "id bigint, s binary"), "shingles")
     left = shingles.select(F.col("id").alias("a"), F.col("s").alias("s_a"))
     right = shingles.select(F.col("id").alias("b"), F.col("s").alias("s_b"))
-    pairs = edges.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b")
-    components = connected_components(pairs.mapInArrow(verified, "a bigint, b bigint"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(verified, "a bigint, b bigint"), "links")
+
+    nearest = written(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
+    links = linked(nearest)
+    known = connected_components(links)
+    side = lambda name: known.select(F.col("node").alias(name), F.col("component").alias(f"in_{name}"))
+    rest = edges.join(nearest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = rest.filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
+    components = connected_components(links.unionByName(linked(apart)))
     dropped = written(components.filter("node <> component").select("node"), "dropped")
     return filter_by_ids(docs, doc_id, dropped, keep=False)

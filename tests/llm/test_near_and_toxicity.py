@@ -103,6 +103,26 @@ def test_near_copies_are_dropped_and_others_stay(spark):
     assert clean <= ids and len(ids & copies) <= 1
 
 
+def test_a_large_group_of_near_copies_keeps_one(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(i % 4):
+            text[rnd.randrange(len(text))] = word()
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(word() for _ in range(200))) for i in range(50)] + [(2000, rows[0][1]), (2000, rows[0][1])]
+
+    sets = {i: frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in rows}
+    kept = [r.doc_id for r in golay.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("a", "b", "node", "s", "in_a")})).collect()]
+    near = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    clean = set(range(1000, 1050))
+    assert 0 in kept and clean <= set(kept) and 2000 not in kept
+    assert sum(any(near(i, j) for j in kept if j < i) for i in kept) <= 2
+
+
 def labelled(spark, n=900, seed=1):
     rnd = random.Random(seed)
     plain = ["the", "there", "other", "thing", "hand", "stone", "river", "anthem", "lantern", "gather", "winter", "motor"]
