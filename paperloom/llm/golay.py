@@ -205,25 +205,55 @@ def _links(key: np.ndarray, fp: np.ndarray, most: int, small_run: int = SMALL_RU
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def linked_fingerprints(distinct: DataFrame, most: int, words: int, keys: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], small_run: int = SMALL_RUN, keyed: int = 1) -> DataFrame:
+def _apart(key: np.ndarray, fp: np.ndarray, group: np.ndarray, size: np.ndarray, most: int, nearest: int, least_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows of one run that are within `most` bits but in different groups; rows are sorted by key.
+
+    A row is paired with its `nearest` such rows; where it has more, it is also paired with itself. Rows of a run's largest group
+    are paired from the other side alone. Sets whose sizes differ too much for the similarity aren't paired.
+    """
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start, end in zip(edge[:-1], edge[1:]):
+        of = group[start:end]
+        if (of == of[0]).all():
+            continue
+        names, count = np.unique(of, return_counts=True)
+        for x in np.flatnonzero(of != names[count.argmax()]):
+            n = size[start:end]
+            other = np.flatnonzero((of != of[x]) & (np.minimum(n, n[x]) >= least_share * np.maximum(n, n[x])))
+            bits = distance(fp[start + other], fp[start + x])
+            other, bits = other[bits <= most], bits[bits <= most]
+            if len(other) > nearest:
+                other = np.append(other[np.argsort(bits, kind="stable")[:nearest]], x)
+            a.append(np.full(len(other), start + x))
+            b.append(start + other)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def linked_fingerprints(
+    distinct: DataFrame, most: int, words: int, keys: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], small_run: int = SMALL_RUN, keyed: int = 1, nearest: int = 0, least_share: float = 0.0
+) -> DataFrame:
     """Pairs (a, b) of nodes within `most` bits of the first `words` words; keys are those of the first `keyed` words, which
     can be more. distinct: node, fp0, .. with each fingerprint once.
 
-    Not every pair of a large group is returned, but enough pairs that it stays connected.
+    Not every pair of a large group is returned, but enough pairs that it stays connected. With `nearest`, distinct also has
+    group and size, and the pairs are those of different groups: each node with so many of each run; a node with more is
+    paired with itself as well.
     """
     spark = distinct.sparkSession
     ship_package(spark)
     names = [f"fp{k}" for k in range(words)]
     read = max(words, keyed)
+    extra = ["group", "size"] if nearest else []
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                columns = [part.column(i).to_numpy(zero_copy_only=False) for i in range(1 + read)]
+                columns = [part.column(i).to_numpy(zero_copy_only=False) for i in range(1 + read + len(extra))]
                 for k in range(keyed):
                     row, key = keys(columns[1 + k].view(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(key * keyed + k), *(pa.array(c[row]) for c in columns[: 1 + words])], names=["key", "node", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(key * keyed + k), *(pa.array(c[row]) for c in columns[: 1 + words] + columns[1 + read :])], names=["key", "node", *names, *extra])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -231,7 +261,8 @@ def linked_fingerprints(distinct: DataFrame, most: int, words: int, keys: Callab
 
         def found(rows: list[np.ndarray]) -> pa.RecordBatch | None:
             nonlocal seen
-            a, b = _links(rows[0], np.stack(rows[2:], axis=1).view(np.uint64), most, small_run)
+            fp = np.stack(rows[2 : 2 + words], axis=1).view(np.uint64)
+            a, b = _apart(rows[0], fp, rows[-2], rows[-1], most, nearest, least_share) if nearest else _links(rows[0], fp, most, small_run)
             low, high = np.minimum(rows[1][a], rows[1][b]), np.maximum(rows[1][a], rows[1][b])
             pairs = np.empty(len(a), "i8,i8")
             pairs["f0"], pairs["f1"] = low, high
@@ -241,7 +272,7 @@ def linked_fingerprints(distinct: DataFrame, most: int, words: int, keys: Callab
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(new["f0"])), pa.array(np.ascontiguousarray(new["f1"]))], names=["a", "b"]) if len(new) else None
 
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + words)]
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + words + len(extra))]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             if not len(rows[0]):
@@ -253,8 +284,8 @@ def linked_fingerprints(distinct: DataFrame, most: int, words: int, keys: Callab
         if held is not None and (out := found(held)):
             yield out
 
-    long = ", ".join(f"{k} bigint" for k in names)
-    exploded = distinct.select("node", *(f"fp{k}" for k in range(read))).mapInArrow(explode, f"key bigint, node bigint, {long}")
+    long = ", ".join(f"{k} bigint" for k in [*names, *extra])
+    exploded = distinct.select("node", *(f"fp{k}" for k in range(read)), *extra).mapInArrow(explode, f"key bigint, node bigint, {long}")
     sorted_ = exploded.repartition("key").sortWithinPartitions("key", "node")
     return sorted_.mapInArrow(compare, "a bigint, b bigint").distinct()
 
@@ -306,6 +337,8 @@ def near_duplicate_groups(docs: DataFrame, width: int = 4, most: int = 4, doc_id
 #: Words of a wide fingerprint, and the most bits in which candidates differ: more than texts with 80 % of their shingles in
 #: common differ in, but for one in forty (29 on average, deviation 5).
 WIDE_WORDS, CANDIDATE_BITS = 3, 39
+#: Candidates of a document in a run that the first search among different groups verifies.
+NEAREST = 8
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,8 +347,10 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     Candidates differ in at most CANDIDATE_BITS of three 64-bit fingerprints and share a key of a pair of segments of one of them;
     of a table's 2 860 near copies, most in one large group, that missed 18 (measured against a banded index). Candidates are verified on the
     sets of their shingles (Jaccard similarity), in two passes: first each document with its smallest candidate, then all
-    others that don't lie in one group already, whose links would change nothing. Texts without words are near copies of
-    nothing. Rows without an id stay.
+    others that don't lie in one group already, whose links would change nothing. Long runs give a forest of candidates, whose
+    links can fail; so runs are searched again among documents that aren't in one group, each with its NEAREST candidates
+    of a run first and with four times as many in each round, until every candidate is verified or within one group. Texts
+    without words are near copies of nothing. Rows without an id stay.
     """
     spark = docs.sparkSession
     prints = written(fingerprints(docs.filter(F.col(doc_id).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]")), width, WIDE_WORDS, doc_id, text), "fingerprints")
@@ -342,6 +377,10 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     shingles = written(texts.mapInArrow(sets, "id bigint, s binary"), "shingles")
+    members = lambda known: written(
+        prints.join(shingles.groupBy("id").agg(F.max(F.length("s") / 8).cast("bigint").alias("size")), F.col("doc_id") == F.col("id")).select(F.col("doc_id").alias("node"), *wide, "size").distinct()
+        .join(known, "node", "left").withColumn("group", F.coalesce("component", "node")), "members"
+    )
     left = shingles.select(F.col("id").alias("a"), F.col("s").alias("s_a"))
     right = shingles.select(F.col("id").alias("b"), F.col("s").alias("s_b"))
 
@@ -355,5 +394,15 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     rest = edges.join(nearest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     apart = rest.filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
     components = connected_components(links.unionByName(linked(apart)))
+    tested, nearest = edges, NEAREST
+    while True:
+        found = written(linked_fingerprints(members(components), CANDIDATE_BITS, WIDE_WORDS, keys_of_pairs, keyed=WIDE_WORDS, nearest=nearest, least_share=similarity), "apart")
+        fresh = written(found.filter("a <> b").join(tested, ["a", "b"], "left_anti"), "fresh")
+        new = linked(fresh)
+        if new.limit(1).count():
+            components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
+        if not found.filter("a = b").limit(1).count():
+            break
+        tested, nearest = tested.unionByName(fresh), 4 * nearest
     dropped = written(components.filter("node <> component").select("node"), "dropped")
     return filter_by_ids(docs, doc_id, dropped, keep=False)

@@ -123,6 +123,33 @@ def test_a_large_group_of_near_copies_keeps_one(spark):
     assert sum(any(near(i, j) for j in kept if j < i) for i in kept) <= 2
 
 
+def test_links_of_a_large_group_do_not_depend_on_its_hub(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(400)]
+    rows = [(1000, " ".join(base))]
+    for i in range(60):
+        text = list(base)
+        for at in rnd.sample(range(5, 395), 7 + i % 2):
+            text[at] = word()
+        rows.append((i, " ".join(text)))
+    sets = {i: frozenset(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    near = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    assert all(near(i, 1000) for i in range(60)) and sum(near(i, j) for i in range(60) for j in range(i)) < 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r[0]: np.array(r[1:], np.int64).view(np.uint64) for r in golay.fingerprints(docs, 5, golay.WIDE_WORDS, *docs.columns).collect()}
+    keys = {i: {(k, x) for k in range(golay.WIDE_WORDS) for x in golay.keys_of_pairs(p[k : k + 1])[1].tolist()} for i, p in prints.items()}
+    group = {i: {i} for i in prints}
+    for i in prints:
+        for j in prints:
+            if i < j and keys[i] & keys[j] and golay.distance(prints[i], prints[j]) <= golay.CANDIDATE_BITS and near(i, j):
+                group[i] |= group[j]
+                for x in group[i]:
+                    group[x] = group[i]
+    kept = {r.doc_id for r in golay.drop_near_duplicates(docs).collect()}
+    assert kept == {min(g) for g in group.values()} and len(kept) <= 3
+
+
 def labelled(spark, n=900, seed=1):
     rnd = random.Random(seed)
     plain = ["the", "there", "other", "thing", "hand", "stone", "river", "anthem", "lantern", "gather", "winter", "motor"]
