@@ -134,8 +134,8 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int, words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp0, fp1, .. up to `words` (further hashes of each shingle): signed longs."""
+def fingerprints(docs: DataFrame, width: int, words: int = 1, doc_id: str = "doc_id", text: str = "text", repeats: bool = True) -> DataFrame:
+    """doc_id and fp0, fp1, .. up to `words` (further hashes of each shingle): signed longs. Without repeats each shingle counts once."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
@@ -144,6 +144,7 @@ def fingerprints(docs: DataFrame, width: int, words: int = 1, doc_id: str = "doc
             out = [np.zeros(batch.num_rows, np.uint64) for _ in range(words)]
             for i, value in enumerate(batch.column(1)):
                 h = shingle_hashes(value.as_py() or "", width)
+                h = h if repeats else np.unique(h)
                 for k in range(words):
                     # each further hash is a bijection of the one before: multiply, fold, multiply
                     h = _mixed(h) if k else h
@@ -344,7 +345,7 @@ NEAREST = 8
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near copies, the one with the smallest id, with all its columns.
 
-    Candidates differ in at most CANDIDATE_BITS of three 64-bit fingerprints and share a key of a pair of segments of one of them;
+    Candidates differ in at most CANDIDATE_BITS of three 64-bit fingerprints, in which each shingle counts once, and share a key of a pair of segments of one of them;
     of a table's 2 860 near copies, most in one large group, that missed 18 (measured against a banded index). Candidates are verified on the
     sets of their shingles (Jaccard similarity), in two passes: first each document with its smallest candidate, then all
     others that don't lie in one group already, whose links would change nothing. Long runs give a forest of candidates, whose
@@ -353,7 +354,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     without words are near copies of nothing. Rows without an id stay.
     """
     spark = docs.sparkSession
-    prints = written(fingerprints(docs.filter(F.col(doc_id).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]")), width, WIDE_WORDS, doc_id, text), "fingerprints")
+    prints = written(fingerprints(docs.filter(F.col(doc_id).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]")), width, WIDE_WORDS, doc_id, text, repeats=False), "fingerprints")
     wide = [f"fp{k}" for k in range(WIDE_WORDS)]
     distinct = prints.groupBy(*wide).agg(F.min("doc_id").alias("node"))
     same = prints.join(distinct, wide).filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))

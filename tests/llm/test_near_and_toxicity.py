@@ -137,7 +137,7 @@ def test_links_of_a_large_group_do_not_depend_on_its_hub(spark):
     near = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
     assert all(near(i, 1000) for i in range(60)) and sum(near(i, j) for i in range(60) for j in range(i)) < 60
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    prints = {r[0]: np.array(r[1:], np.int64).view(np.uint64) for r in golay.fingerprints(docs, 5, golay.WIDE_WORDS, *docs.columns).collect()}
+    prints = {r[0]: np.array(r[1:], np.int64).view(np.uint64) for r in golay.fingerprints(docs, 5, golay.WIDE_WORDS, *docs.columns, repeats=False).collect()}
     keys = {i: {(k, x) for k in range(golay.WIDE_WORDS) for x in golay.keys_of_pairs(p[k : k + 1])[1].tolist()} for i, p in prints.items()}
     group = {i: {i} for i in prints}
     for i in prints:
@@ -150,6 +150,17 @@ def test_links_of_a_large_group_do_not_depend_on_its_hub(spark):
     assert kept == {min(g) for g in group.values()} and len(kept) <= 3
 
 
+def test_near_copies_with_repeated_lines_are_dropped(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(20):
+        text, line = [word() for _ in range(304)], [word() for _ in range(12)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text + 20 * line))]
+    kept = {r.doc_id for r in golay.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(0, 40, 2)) <= kept and len(kept) <= 21, len(kept)
+
+
 def labelled(spark, n=900, seed=1):
     rnd = random.Random(seed)
     plain = ["the", "there", "other", "thing", "hand", "stone", "river", "anthem", "lantern", "gather", "winter", "motor"]
