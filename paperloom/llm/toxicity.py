@@ -3,7 +3,8 @@
 1. A character language model (trigrams of letters, word ends as a letter of their own) is counted over all documents.
 2. Words written with digits or signs for letters, with letters repeated three times or more, or spaced out letter by letter
    become lattices: every character is read as itself, as the letters it is used for, or as nothing. Viterbi decoding
-   finds the reading of least cost under the channel's costs and the language model.
+   finds the reading of least cost under the channel's costs and the language model. Words of digits or signs that still have
+   more than LONGEST_WORD characters with runs cut to three are codes and are not decoded; spaced letters are, at any length.
 3. A document's features are the words, and beginnings of words, of its text and of its restored words, and beginnings that
    two or three different words share. Those that labelled documents tell apart (log-likelihood ratio) get weights by
    logistic regression. A word, or a beginning of five letters or more, that only toxic documents have, and many of them, is enough
@@ -21,6 +22,7 @@ rows are scored each; an empty table gives an empty result; of clashing columns
 from __future__ import annotations
 
 import math
+import os.path
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -49,8 +51,10 @@ _ALPHA = re.compile(r"[^\W\d_]+")
 _PREFIXES = (3, 4, 5, 6, 7)
 #: The share of toxic documents that a word must be in to be enough alone.
 ALONE_SHARE = 0.1
-#: Longer words are codes, not words.
+#: Longer words are codes, not words; counted after runs of a letter are cut, and not for what is spaced letter by letter.
 LONGEST_WORD = 40
+#: Steps of decoding after which what all readings have in common is put aside.
+SETTLED = 64
 
 
 def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -105,8 +109,8 @@ def readings(word: str) -> list[list[tuple[str, float]]]:
 
 def viterbi(word: str, costs: np.ndarray) -> str:
     """The reading of least cost; ties go to the first in alphabetical order."""
-    best = {(0, 0): (0.0, "")}
-    for options in readings(word):
+    best, settled = {(0, 0): (0.0, "")}, []
+    for i, options in enumerate(readings(word), 1):
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, made) in best.items():
             for x, extra in options:
@@ -120,7 +124,11 @@ def viterbi(word: str, costs: np.ndarray) -> str:
                 if state not in after or new < after[state]:
                     after[state] = new
         best = after
-    return min(((cost + (float(costs[a, b, 0]) if b else 0.0), made) for (a, b), (cost, made) in best.items()), default=(0.0, ""))[1].strip()
+        if i % SETTLED == 0:
+            settled.append(os.path.commonprefix([made for _, made in best.values()]))
+            best = {state: (cost, made[len(settled[-1]) :]) for state, (cost, made) in best.items()}
+    last = min(((cost + (float(costs[a, b, 0]) if b else 0.0), made) for (a, b), (cost, made) in best.items()), default=(0.0, ""))[1]
+    return "".join([*settled, last]).strip()
 
 
 def _inner(word: str) -> str:
@@ -135,12 +143,16 @@ def is_noisy(word: str) -> bool:
     if inner.isalpha():
         return _RUN.search(inner) is not None
     letters = sum(c.isalpha() for c in inner)
-    return 0 < letters and len(inner) <= LONGEST_WORD and letters + sum(c in LEET for c in inner) >= 3
+    return 0 < letters and letters + sum(c in LEET for c in inner) >= 3 and (len(inner) <= LONGEST_WORD or len(_cut_runs(inner)) <= LONGEST_WORD or _SPACED.fullmatch(inner) is not None)
+
+
+def _cut_runs(word: str) -> str:
+    return _RUN.sub(lambda m: m[1] * 3, word)
 
 
 def restore(word: str, costs: np.ndarray) -> str:
     """A noisy word's likely spelling: runs of a letter are first cut to three."""
-    return viterbi(_RUN.sub(lambda m: m[1] * 3, _inner(word)), costs)
+    return viterbi(_cut_runs(_inner(word)), costs)
 
 
 def word_features(word: str) -> list[str]:

@@ -214,3 +214,21 @@ def test_viterbi_prefers_the_language():
     for noisy in ("1d10t", "i.d.i.o.t", "i d i o t", "idiooot", "!d!ot"):
         assert toxicity.restore(noisy, costs) == "idiot"
     assert toxicity.restore("$tup1d", costs) == "stupid" and not toxicity.is_noisy("other") and not toxicity.is_noisy("12345")
+
+
+def test_long_spaced_and_repeated_words_are_restored(spark):
+    rows = labelled(spark)
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    spaced = " ".join("theriverworthlessidiot")
+    texts = [spaced, f"river {spaced} stone", ".".join("gatherwinterstupidmoron"), "1d1" + "o" * 60 + "t", "river " + " ".join("stoneanthem" * 6), "1d1ot" + "x7q" * 15]
+    got = [r.score >= 0.7 for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert len(spaced) > toxicity.LONGEST_WORD and got == [True, True, True, True, False, False]
+
+
+def test_decoding_in_parts_is_decoding_of_the_whole(monkeypatch):
+    counts = np.random.default_rng(2).integers(0, 50, (toxicity.SIZE,) * 3)
+    costs, rnd = toxicity.language_model(counts), random.Random(2)
+    words = ["".join(rnd.choice("abest014$. -") for _ in range(300)) for _ in range(5)]
+    parts = [toxicity.viterbi(w, costs) for w in words]
+    monkeypatch.setattr(toxicity, "SETTLED", 10**9)
+    assert parts == [toxicity.viterbi(w, costs) for w in words] and all(len(x) > 100 for x in parts)
