@@ -335,9 +335,9 @@ def near_duplicate_groups(docs: DataFrame, width: int = 4, most: int = 4, doc_id
     return prints.join(named, "fp0").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of a wide fingerprint, and the most bits in which candidates differ: more than texts with 80 % of their shingles in
-#: common differ in, but for one in forty (29 on average, deviation 5).
-WIDE_WORDS, CANDIDATE_BITS = 3, 39
+#: Words of a wide fingerprint, and the most bits in which candidates differ: more than all of 2 000 simulated pairs with a
+#: Jaccard similarity of 0.8 differed in (29 on average, deviation 5).
+WIDE_WORDS, CANDIDATE_BITS = 3, 45
 #: Candidates of a document in a run that the first search among different groups verifies.
 NEAREST = 8
 
@@ -346,7 +346,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     """One document of each group of near copies, the one with the smallest id, with all its columns.
 
     Candidates differ in at most CANDIDATE_BITS of three 64-bit fingerprints, in which each shingle counts once, and share a key of a pair of segments of one of them;
-    of a table's 2 860 near copies, most in one large group, that missed 18 (measured against a banded index). Candidates are verified on the
+    of 2 000 simulated pairs each, 97.7 % were candidates at a Jaccard similarity of 0.80, 99.3 % at 0.85 and all at 0.90. Candidates are verified on the
     sets of their shingles (Jaccard similarity), in two passes: first each document with its smallest candidate, then all
     others that don't lie in one group already, whose links would change nothing. Long runs give a forest of candidates, whose
     links can fail; so runs are searched again among documents that aren't in one group, each with its NEAREST candidates
