@@ -4,7 +4,8 @@ Texts are cut into sentences, sentences are normalised (lower case; only letters
 up among known licence sentences, which have identifiers. The identifiers found, in text order, are matched against
 ordered rules, longest first: a rule whose sequence occurs names its licence and uses the sequence up.
 
-Only texts with one of KEYWORDS are cut up; every known sentence has one of them, so nothing is missed.
+Only texts with one of KEYWORDS are cut up; every known sentence has one of them, and none has white space, which texts can
+break in other ways, so nothing is missed.
 
 Edge cases: null and empty texts have no sentences; repeated sentences and rows count each; a sentence across line breaks is
 one sentence unless its next line starts like one; identifiers that no rule uses are reported as leftover; other
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEYWORDS = ("licen", "copyright", "warrant", "permission", "redistribut", "gnu", "spdx", "liable", "public domain", "cc by", "cc0")
+KEYWORDS = ("licen", "copyright", "warrant", "permission", "redistribut", "gnu", "spdx", "liable", "unencumbered", "cc0")
 #: (identifier, sentence as normalised)
 SENTENCES = (
     ("MITref", "released under the mit license"),

@@ -136,6 +136,12 @@ def test_every_sentence_has_a_keyword():
     assert all(x in known for _, ids in licenses.RULES for x in ids)
 
 
+def test_wrapped_unlicense_is_found(spark):
+    texts = ["This is free and unencumbered software released into the public\ndomain.", "This is free and unencumbered software released into the public  domain."]
+    got = licenses.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.licenses for r in got] == ["Unlicense"] * 2 and not any(" " in k for k in licenses.KEYWORDS)
+
+
 def test_pipeline(spark, small):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "simhash near-dedup", "pii", "packing"]
     docs = spark.read.parquet(f"{small}/documents.parquet")
