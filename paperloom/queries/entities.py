@@ -154,7 +154,7 @@ def document_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All labelled documents are saved, those of quality 0 saved again with another type, toxic ones deleted by rewriting; then listed."""
+    """All labelled documents are saved, those of quality 0 saved again with another type; then all are listed. None is deleted."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     rows = docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("document_id"), F.lit("text").alias("file_type"), F.lit("first").alias("document_type"), "text", F.timestamp_seconds(F.col("doc_id") % 1000).alias("created_at"), "quality", "toxic")
     store = DocumentStore(spark, scratch_path(spark, "store"))
