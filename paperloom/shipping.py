@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,9 +34,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new local one is set only where the session names none."""
+    """The folder of spark.checkpoint.dir; where a local session names none, a new one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="paperloom-shared-")
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -66,7 +69,7 @@ def filter_by_ids(rows: DataFrame, key: str, ids: DataFrame, keep: bool) -> Data
     """The rows whose key is (keep) or isn't among the ids, a stored table of one column. Its size is counted first."""
     from pyspark.sql import functions as F
 
-    name = ids.columns[0]
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    ids = ids.withColumnRenamed(name, "__id")
-    return rows.join(F.broadcast(ids) if small else ids, F.col(key) == F.col("__id"), "left_semi" if keep else "left_anti")
+    other = f"id_{uuid.uuid4().hex}"  # a name that no table has
+    ids = ids.withColumnRenamed(ids.columns[0], other)
+    return rows.join(F.broadcast(ids) if small else ids, F.col(key) == F.col(other), "left_semi" if keep else "left_anti")
