@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_external_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.capture_index(_table(spark, sf_dir, "pages"), minimum_revisit_size=0)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time", "place", "history_no")
 
 
 def op2_sentence_rule_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +72,11 @@ OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
-), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+), q AS (SELECT DISTINCT vec_id, w FROM v WHERE vec_id % 50 = 0), s AS (
+  SELECT q.vec_id AS query_id, q.w AS w, c.vec_id AS vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM q JOIN v c ON c.vec_id <> q.vec_id
+), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, w ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 

@@ -72,7 +72,28 @@ def test_few_candidates_and_none(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
-def test_large_weights_are_exact():
-    big = 2.0**40
-    scores = topk.accumulate(np.array([[big, 1.0]]), np.array([[big, 3.0], [1.0, big]]))
-    assert scores.tolist() == [[min(2**80 + 1, 2**63 - 1), 3 * 2**40 + 2**40]]
+def test_repeated_queries_and_candidates(spark):
+    """Equal query rows are one query; equal candidates are ranked each; rows of one id with other vectors are queries each."""
+    rows = [(50, [1.0, 0.0, 2.0]), (50, [1.0, 0.0, 2.0]), (50, [0.0, 1.0]), (1, [5.0]), (2, [0.0, 7.0]), *[(3, [1.0, 1.0, 1.0])] * 9, (4, [0.0] * 5000 + [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, weights array<double>").withColumns({c: F.lit(1) for c in ("id", "w", "no", "cell", "copies", "score")})
+    got = sorted(tuple(r) for r in topk.top_k(v, v.filter("vec_id = 50"), 4).collect())
+    first, second = [(1, 5), (3, 3), (3, 3), (3, 3)], [(2, 7), (3, 1), (3, 1), (3, 1)]
+    assert got == sorted((50, i + 1, *x) for found in (first, second) for i, x in enumerate(found))
+
+
+def test_postings_are_sparse_and_exact():
+    rows = [[0.0, 3.0], [], [2.0**40, 0.0, 5.0], [0.0] * 1000 + [1.0]]
+    ends = np.cumsum([0, *map(len, rows)])
+    cell = topk.Postings(np.arange(4), ends, np.array([x for r in rows for x in r]))
+    assert len(cell.place) == 4 and cell.scores(np.array([2.0, 5.0])).tolist() == [15, 0, 2**41, 0]
+    assert cell.scores(np.array([2.0**40, 1.0, 1.0])).tolist() == [3, 0, 2**63 - 1, 0] and cell.scores(np.zeros(0)).tolist() == [0] * 4
+    assert cell.scores(np.array([-(2.0**22), 0.0, 1.0])).tolist() == [0, 0, 5 - 2**62, 0]
+
+
+def test_latin_fast_path_agrees_with_the_library_on_random_text():
+    rnd = random.Random(7)
+    signs = [chr(c) for c in range(256)]
+    bpe, right = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN, byte_bpe.LATIN_PATTERN), reference()
+    for _ in range(300):
+        text = "".join(rnd.choice(signs) if rnd.random() < 0.4 else rnd.choice("etaoin  \n'sS01") for _ in range(rnd.randint(0, 200)))
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == right.encode_ordinary(text)
