@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,30 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def release_memory() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def then_released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of batches, after which its worker's memory is released."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where a local session names none, a new one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
