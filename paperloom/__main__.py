@@ -7,29 +7,62 @@ A path to Parquet is read as documents (doc_id, text); any other folder is read
 from __future__ import annotations
 
 import argparse
+import functools
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators import classify
+from paperloom.operators import classify, tables
 from paperloom.plans import documents
-from paperloom.sources import files
+from paperloom.shipping import written
+from paperloom.sources import files, ocr
 
 #: Rows that are shown where no output folder is given; everything is written where there is one.
 SHOWN = 20
 
 
-def read_documents(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Documents, and of files those that couldn't be read (path, error)."""
+def _pdfs(found: DataFrame, **decoders) -> DataFrame:
+    pages = files.pdf_pages(found, decoders.get("open_book"))
+    return found.drop("content").join(files.pdf_documents(pages), "path")
+
+
+def _scans(found: DataFrame, **decoders) -> DataFrame:
+    scanned = written(ocr.scanned_files(found, read=decoders.get("read"), draw=decoders.get("draw")), "scanned")
+    texts = documents.texts_of_blocks(tables.ocr_blocks(ocr.words_of(scanned))).select("doc_id", "text")
+    about = scanned.select("doc_id", "page_count", "error").join(texts, "doc_id", "left")
+    size = F.create_map(F.lit("size_mb"), F.round("size_mb", 3).cast("string")).alias("metadata")
+    rows = found.drop("content").join(about, found["document_id"] == about["doc_id"])
+    return rows.select("*", size)
+
+
+def read_documents(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None, **decoders) -> tuple[DataFrame, DataFrame | None]:
+    """Documents, and of files those that couldn't be read (path, error): PDF files by their text, images and other files by
+    recognition. Where a decoder isn't installed, the files that need it are errors.
+
+    decoders: open_book, read and draw, as in sources.files and sources.ocr.
+    """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path), None
     found = files.read_files(spark, path, recursive, pattern)
-    blocks = files.pdf_blocks(found.filter("file_type = 'pdf'"))
-    errors = blocks.filter(F.col("error").isNotNull()).select("path", "error")
-    good = blocks.filter(F.col("error").isNull()).withColumn("doc_id", files.document_id(F.col("path")))
-    texts = documents.texts_of_blocks(good)
-    return texts.join(found.select(F.col("document_id").alias("doc_id"), F.col("path").alias("source_path"), "file_type"), "doc_id"), errors
+    able = files.capabilities()
+    parts, errors = [], []
+    for kind, decode, here in (
+        (F.col("file_type") == "pdf", _pdfs, "open_book" in decoders or able["pdf"]),
+        (F.col("file_type") != "pdf", _scans, {"read", "draw"} <= set(decoders) or (able["ocr"] and able["images"])),
+    ):
+        some = found.filter(kind)
+        if not here:
+            errors.append(some.select("path", F.concat("file_type", F.lit(": its decoder isn't installed")).alias("error")))
+            continue
+        made = written(decode(some, **decoders).select("path", "document_id", "file_type", "text", "page_count", "metadata", "error"), "decoded")
+        errors.append(made.filter(F.col("error").isNotNull()).select("path", "error"))
+        # a scan with a page that can't be read has the text of the others
+        parts.append(made.filter(F.col("error").isNull() | (F.coalesce("page_count", F.lit(0)) > 0)))
+    columns = "doc_id string, source_path string, file_type string, text string, page_count int, metadata map<string,string>"
+    none = spark.createDataFrame([], columns)
+    shaped = [p.select(F.col("document_id").alias("doc_id"), F.col("path").alias("source_path"), "file_type", F.coalesce("text", F.lit("")).alias("text"), "page_count", "metadata") for p in parts]
+    return functools.reduce(DataFrame.unionByName, shaped, none), functools.reduce(DataFrame.unionByName, errors)
 
 
 def main(arguments: list[str] | None = None) -> int:

@@ -6,18 +6,20 @@ lies in another's, the longer one stays, of equal spans the first recognised.
 
 from __future__ import annotations
 
-import calendar
 import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.fixed_values import RECOGNISERS, ROLE_CONTEXT, ROLE_LABEL, ROLE_RULES
-from paperloom.functions.spans import spans
+from paperloom.functions.spans import bound, gathered, spans
 
 TRIMMED = ("address", "organization")
+#: What ROLE_LABEL can have: 31 characters, and white space between them and the colon counts too.
+_LONGEST_LABEL = 200
 ENTITY = "struct<ord:int,text:string,entity_type:string,start:int,end:int,confidence:double,normalized:string>"
-_MONTH_KEY = "".join(m.lower() for m in calendar.month_abbr[1:])
+#: The first three letters of the months, one after another.
+_MONTH_KEY = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
 def iso_date(raw: Column) -> Column:
@@ -85,24 +87,21 @@ def _entity(kind: str, confidence: float, shown):
 
 
 def _first_of_each_text(found: Column) -> Column:
-    # bound once: the matches are used twice
-    both = F.transform(F.array(found), lambda f: F.struct(f.alias("f"), F.transform(f, lambda x: x["text"]).alias("texts")))
-    return F.flatten(F.transform(both, lambda b: F.filter(b["f"], lambda x, i: F.array_position(b["texts"], x["text"]) == i + 1)))
+    """Of matches with equal texts the first, in their order: sorted by text and place, each that follows another text stays."""
+    numbered = F.array_sort(F.transform(found, lambda x, i: F.struct(x["text"].alias("t"), i.alias("i"), x.alias("x"))))
+    new = lambda s: F.filter(s, lambda y, k: (k == 0) | (F.get(s, k - 1)["t"] != y["t"]))
+    firsts = F.array_sort(F.transform(bound(numbered, new), lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x"))))
+    return F.transform(firsts, lambda y: y["x"])
 
 
 def deduplicated(entities: Column) -> Column:
     """Entities that lie in no longer (or equal, earlier) one, by start; one sweep with the furthest end so far."""
     swept = F.array_sort(F.transform(entities, lambda e: F.struct(e["start"].alias("s"), (-e["end"]).alias("n"), e["ord"].alias("o"), e.alias("e"))))
-    kept = F.aggregate(
+    further = lambda far, x: x["e"]["end"] > far
+    return bound(
         swept,
-        F.struct(F.lit(-1).alias("far"), F.array().cast(f"array<{ENTITY}>").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["far"], x["e"]["end"]).alias("far"),
-            F.when(a["far"] >= x["e"]["end"], a["out"]).otherwise(F.concat(a["out"], F.array(x["e"]))).alias("out"),
-        ),
-        lambda a: a["out"],
+        lambda xs: gathered(xs, F.lit(-1), ENTITY, lambda far, x: F.greatest(far, x["e"]["end"]), lambda _, x: x["e"], further),
     )
-    return kept
 
 
 def role_of(context: Column, line: Column, kind: Column) -> Column:
@@ -115,18 +114,26 @@ def role_of(context: Column, line: Column, kind: Column) -> Column:
     return out.when(line.rlike(ROLE_LABEL), F.concat(F.lit("field:"), label))
 
 
-_NAMES = ("ord", "text", "entity_type", "start", "end", "confidence", "normalized")
+NAMES = ("ord", "text", "entity_type", "start", "end", "confidence", "normalized")
+
+
+#: A label and the white space around it seldom take more; where they do, the whole line is looked at.
+_NEAR = 256
 
 
 def _before(text: Column, start: Column) -> tuple[Column, Column]:
-    """The 60 characters before an entity and its line up to it, both in lower case."""
-    context = F.lower(F.substring(text, F.greatest(start - ROLE_CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(ROLE_CONTEXT))))
-    return context, F.regexp_replace(F.lower(F.substring_index(F.substring(text, F.lit(1), start), "\n", -1)), r"^\s+|\s+$", "")
+    """The 60 characters before an entity and its line up to it, both in lower case. Of lines that are too long for a label, only
+    the last _NEAR characters are read, which then aren't one either."""
+    last = lambda n: F.substring(text, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n)))
+    line = lambda t: F.regexp_replace(F.lower(F.substring_index(t, "\n", -1)), r"^\s+|\s+$", "")
+    near = last(_NEAR)
+    cut_off = (start > _NEAR) & ~near.contains("\n") & (F.length(line(near)) <= _LONGEST_LABEL)
+    return F.lower(last(ROLE_CONTEXT)), F.when(cut_off, line(F.substring(text, F.lit(1), start))).otherwise(line(near))
 
 
 def linked(text: Column, entities: Column) -> Column:
     """The entities of an array with their roles; for streams, which have no rows per entity."""
-    return F.transform(entities, lambda e: F.struct(*(e[k].alias(k) for k in _NAMES), role_of(*_before(text, e["start"]), e["entity_type"]).alias("role")))
+    return F.transform(entities, lambda e: F.struct(*(e[k].alias(k) for k in NAMES), role_of(*_before(text, e["start"]), e["entity_type"]).alias("role")))
 
 
 def entity_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dedup: bool = True, link: bool = True, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -141,4 +148,4 @@ def entity_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ded
         return rows.select("doc_id", F.explode("__e").alias("e")).select("doc_id", "e.*", F.lit(None).cast("string").alias("role"))
     around = lambda e: F.struct(e.alias("e"), *(c.alias(n) for c, n in zip(_before(F.col("__t"), e["start"]), ("context", "line"))))
     rows = rows.select("doc_id", F.explode(F.transform("__e", around)).alias("x")).select("doc_id", "x.e.*", "x.context", "x.line")
-    return rows.select("doc_id", *_NAMES, role_of(F.col("context"), F.col("line"), F.col("entity_type")).alias("role"))
+    return rows.select("doc_id", *NAMES, role_of(F.col("context"), F.col("line"), F.col("entity_type")).alias("role"))

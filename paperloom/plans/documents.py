@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import classify, entities, keywords, layout, summary
 from paperloom.plans import fields
+from paperloom.shipping import written
 
 
 @dataclasses.dataclass(frozen=True)
@@ -83,38 +84,42 @@ def run(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", t
     """doc_id and the columns of RESULT; what isn't asked for isn't planned and is null.
 
     docs can have source_path, file_type, page_count and metadata, which are passed on. tables: doc_id, page_num, headers, rows.
-    The parts depend on the text alone and meet by document id.
+    Types by rules, entities and fields are computed in their row. What needs more is joined by a number that each row has of
+    its own, so repeated and null ids have their results, and no row is multiplied.
     """
+    spark = docs.sparkSession
     passed = [c for c in ("source_path", "file_type", "page_count", "metadata") if c in docs.columns and c not in (doc_id, text)]
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = docs.select(F.col(doc_id).alias("doc_id"), *passed)
-    kinds = None
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *passed)
+    rows = written(rows, "documents")  # so that all parts see the same numbers
+    texts = rows.select("row_id", "text")
+    out = rows
     if options.run_classification:
+        names = ("document_type", "confidence", "all_scores", "features_used")
         if options.use_model:
-            scored = classify.model_classified(base, classify.fit_text_model(docs.sparkSession))
-            names = [c for c in scored.columns if c.startswith("score_")]
-            kinds = scored.select("doc_id", F.struct("document_type", "confidence", F.create_map(*(x for c in names for x in (F.lit(c[6:]), F.col(c)))).alias("all_scores"), F.array(F.lit("tfidf"), F.lit("logistic_regression")).alias("features_used")).alias("classification"))
+            scored = classify.model_classified(texts, classify.fit_text_model(spark), "row_id")
+            scores = F.create_map(*(x for c in scored.columns if c.startswith("score_") for x in (F.lit(c[6:]), F.col(c))))
+            used = F.array(F.lit("tfidf"), F.lit("logistic_regression"))
+            kinds = scored.select(F.col("doc_id").alias("row_id"), F.struct("document_type", "confidence", scores.alias("all_scores"), used.alias("features_used")).alias("classification"))
+            out = out.join(kinds, "row_id")
         else:
-            kinds = classify.rule_classified(base).select("doc_id", F.struct("document_type", "confidence", "all_scores", "features_used").alias("classification"))
-        out = out.join(kinds, "doc_id", "left")
+            out = classify.rule_classified(out).select(*out.columns, F.struct(*names).alias("classification"))
     if options.run_entities:
         found = entities.deduplicated(entities.recognised(F.col("text")))
-        unlinked = F.transform(found, lambda e: F.struct(*(e[n].alias(n) for n in ("ord", "text", "entity_type", "start", "end", "confidence", "normalized")), F.lit(None).cast("string").alias("role")))
-        e = base.select("doc_id", (entities.linked(F.col("text"), found) if options.run_linking else unlinked).alias("entities"))
-        out = out.join(e, "doc_id", "left")
-        if kinds is not None:
-            rows = e.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*")
-            made = fields.structured_fields(kinds.select("doc_id", "classification.document_type"), rows)
-            value = F.struct("field_ord", "field_name", "field_values")
-            out = out.join(made.groupBy("doc_id").agg(F.array_sort(F.collect_list(value)).alias("structured_fields")), "doc_id", "left")
+        unlinked = lambda e: F.struct(*(e[n].alias(n) for n in entities.NAMES), F.lit(None).cast("string").alias("role"))
+        out = out.withColumn("entities", entities.linked(F.col("text"), found) if options.run_linking else F.transform(found, unlinked))
+        if options.run_classification:
+            out = out.withColumn("structured_fields", fields.fields_of(F.col("classification.document_type"), F.col("entities")))
+    if options.run_summary:
+        made = summary.summaries(texts, options.summary_sentences, "row_id").withColumnRenamed("doc_id", "row_id")
+        out = out.join(made, "row_id")
+    if options.run_keywords:
+        in_order = F.array_sort(F.collect_list(F.struct("rank", "keyword")))
+        k = keywords.keywords(texts, options.top_keywords, doc_id="row_id").groupBy("doc_id").agg(F.transform(in_order, lambda x: x["keyword"]).alias("keywords"))
+        out = out.join(k.withColumnRenamed("doc_id", "row_id"), "row_id", "left")
+        out = out.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
     if tables is not None:
         row = F.struct("page_num", F.col("headers").cast("array<string>").alias("headers"), F.col("rows").cast("array<array<string>>").alias("rows"))
         out = out.join(tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("tables")), "doc_id", "left")
-    if options.run_summary:
-        out = out.join(summary.summaries(base, options.summary_sentences), "doc_id", "left")
-    if options.run_keywords:
-        k = keywords.keywords(base, options.top_keywords).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
-        out = out.join(k, "doc_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
     return out.select("doc_id", *((F.col(c) if c in out.columns else F.lit(None)).cast(kind).alias(c) for c, kind in RESULT.items()))
 
 

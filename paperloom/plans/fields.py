@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.fixed_values import FIELDS
+from paperloom.functions.spans import bound
 
 
 def field_rows() -> list[tuple[str, str, int, list[str], list[str]]]:
@@ -35,3 +36,27 @@ def structured_fields(docs: DataFrame, entities: DataFrame) -> DataFrame:
     rows = rows.withColumn("matched", F.filter("typed", lambda x: F.array_contains(F.col("roles"), x["role"])))
     best = F.when(F.size("matched") > 0, F.col("matched")).otherwise(F.col("typed"))
     return rows.select("doc_id", "field_name", "field_ord", F.transform(best, lambda x: x["value"]).alias("field_values"))
+
+
+def fields_of(document_type: Column, entities: Column) -> Column:
+    """The same for one row: array<struct<field_ord, field_name, field_values>> of an array of linked entities, or null."""
+    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    defined = F.array(*(
+        F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(i).alias("i"), texts(roles).alias("roles"), texts(types).alias("types"))
+        for kind, name, i, roles, types in field_rows()
+    ))
+    value = lambda e: F.when(F.coalesce(e["normalized"], F.lit("")) != "", e["normalized"]).otherwise(e["text"])
+    shaped = lambda e: F.struct(e["start"], e["ord"], e["entity_type"].alias("type"), F.coalesce(e["role"], F.lit("")).alias("role"), value(e).alias("value"))
+
+    def values(d: Column, found: Column) -> Column:
+        typed = F.filter(found, lambda x: F.array_contains(d["types"], x["type"]))
+        matched = lambda t: F.filter(t, lambda x: F.array_contains(d["roles"], x["role"]))
+        best = lambda t: bound(matched(t), lambda m: F.when(F.size(m) > 0, m).otherwise(t))
+        return F.transform(bound(typed, best), lambda x: x["value"])
+
+    def filled(found: Column) -> Column:
+        own = F.filter(defined, lambda d: d["kind"] == document_type)
+        return F.transform(own, lambda d: F.struct(d["i"].alias("field_ord"), d["name"].alias("field_name"), values(d, found).alias("field_values")))
+
+    all_ = bound(F.array_sort(F.transform(entities, shaped)), filled)
+    return bound(all_, lambda x: F.when(F.size(x) > 0, x))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from paperloom.functions import fixed_values
 from paperloom.operators import classify, entities
 from paperloom.plans import documents, fields
 from paperloom.plans.store import DocumentStore, chunk_rows
+from paperloom.queries.analysis import MERGED_SQL
 from paperloom.queries.text import RULE_TYPES_SQL, sql_text, table
 from paperloom.shipping import scratch_path
 from paperloom.sources import files, render
@@ -63,13 +66,21 @@ def _spans_sql(pattern: str, group: bool) -> str:
           SELECT doc_id, string_split(replace(regexp_replace(t, {sql_text(pattern)}, {mark}, 'g'), {_C}, {_O}), {_O}) AS parts FROM d))) WHERE i % 2 = 0"""
 
 
-def recognised_sql(kinds: tuple[str, ...] | None = None) -> str:
-    """A list of common table expressions that ends in e(doc_id, ord, text, entity_type, start, end, confidence, normalized)."""
-    ctes, unions = [f"d AS MATERIALIZED (SELECT doc_id, text AS t FROM ({render.RENDERED_SQL}))"], []
+#: Letters and digits beyond ASCII as underscores, which are word characters too: so word boundaries are where Unicode has them.
+_BOUNDED = "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F\\P{L}]|[^\\x00-\\x7F\\P{N}]', '_', 'g')"
+
+
+def recognised_sql(kinds: tuple[str, ...] | None = None, documents: bool = False) -> str:
+    """A list of common table expressions that ends in e(doc_id, ord, text, entity_type, start, end, confidence, normalized),
+    of the rendered texts or of the documents, whose texts aren't ASCII: they are searched as _BOUNDED and shown as they are."""
+    source = f"SELECT doc_id, {_BOUNDED} AS t, text AS o FROM documents" if documents else f"SELECT doc_id, text AS t FROM ({render.RENDERED_SQL})"
+    ctes, unions = [f"d AS MATERIALIZED ({source})"], []
     for k, (kind, confidence, patterns, g) in enumerate(fixed_values.RECOGNISERS):
         if kinds and kind not in kinds:
             continue
         union = " UNION ALL ".join(f"SELECT *, {j} AS pat FROM ({_spans_sql(p, g)})" for j, p in enumerate(patterns))
+        if documents:
+            union = f"""SELECT doc_id, pat, i, substr(o, start + 1, "end" - start) AS text, start, "end" FROM ({union}) JOIN d USING (doc_id)"""
         shown = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')" if kind in entities.TRIMMED else "text"
         ctes.append(f'k{k} AS MATERIALIZED (SELECT doc_id, pat, i, {shown} AS text, start, "end" FROM ({union}))')
         only = {"reference_number": "QUALIFY row_number() OVER (PARTITION BY doc_id, text ORDER BY pat, i) = 1", "organization": "WHERE length(text) >= 5"}.get(kind, "")
@@ -140,35 +151,105 @@ FROM y GROUP BY doc_id, field_name, field_ord
 """
 
 
-def _rendering(name: str):
+def _rendering(name: str, options: documents.Options = documents.Options()):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = documents.run(render.letters(spark, sf_dir))
-        return documents.formatted(result, name)
+        return documents.formatted(documents.run(render.rendered(spark, sf_dir), options), name)
 
     return query
 
 
+_CELL = lambda c: f"CASE WHEN regexp_matches(coalesce({c}, ''), '[,\"\\r\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE coalesce({c}, '') END"
+CSV_SQL = f"""
+WITH {LINKED_CTES}, lines AS (SELECT doc_id, string_agg(concat_ws(',', {_CELL("entity_type")}, {_CELL("text")}, {_CELL("normalized")}, printf('%.2f', confidence), start, "end", {_CELL("role")}) || chr(13) || chr(10), '' ORDER BY start, "end" DESC, ord) AS l FROM g GROUP BY doc_id)
+SELECT d.doc_id, '=== ENTITIES ===' || chr(13) || chr(10) || 'type,text,normalized,confidence,start,end,role' || chr(13) || chr(10) || coalesce(l, '') AS csv FROM d LEFT JOIN lines USING (doc_id)
+"""
+
+
 def document_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = documents.run(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
-    return out.select("doc_id", "classification.document_type", F.size("entities").alias("n_entities"), F.size("structured_fields").alias("n_fields"), "summary", F.array_join("keywords", "|").alias("keywords"))
+    return _shown(out)
 
 
-def store_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All labelled documents are saved, those of quality 0 saved again with another type; then all are listed. None is deleted."""
+def _shown(out: DataFrame) -> DataFrame:
+    return out.select(
+        "doc_id",
+        "classification.document_type",
+        F.size("entities").cast("bigint").alias("n_entities"),
+        F.coalesce(F.size("structured_fields"), F.lit(0)).cast("bigint").alias("n_fields"),
+        F.array_join("keywords", "|").alias("keywords"),
+        "summary",
+    )
+
+
+def document_plan_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan but for summaries, which SQL can't rank, over rendered documents."""
+    out = documents.run(render.rendered(spark, sf_dir), documents.Options(run_summary=False))
+    return _shown(out).drop("summary").withColumn("n_fields", F.greatest("n_fields", F.lit(0)))
+
+
+PLAN_SQL = f"""
+SELECT doc_id, document_type, coalesce(n_entities, 0) AS n_entities, coalesce(n_fields, 0) AS n_fields, coalesce(keywords, '') AS keywords
+FROM (SELECT doc_id, document_type FROM ({RULE_TYPES_SQL}) WHERE doc_id < 1000000000)
+LEFT JOIN (SELECT doc_id, count(*) AS n_entities FROM ({DEDUP_SQL}) GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_fields FROM ({_fields_sql()}) GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(keyword, '|' ORDER BY rank) AS keywords FROM ({MERGED_SQL}) GROUP BY doc_id) USING (doc_id)
+"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DocumentStore:
+    """A store of all labelled documents: those of quality 0 are saved again with another type, the toxic ones deleted."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    rows = docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("document_id"), F.lit("text").alias("file_type"), F.lit("first").alias("document_type"), "text", F.timestamp_seconds(F.col("doc_id") % 1000).alias("created_at"), "quality", "toxic")
+    rows = docs.select(
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("document_id"),
+        F.lit("text").alias("file_type"),
+        F.lit("first").alias("document_type"),
+        "text",
+        F.timestamp_seconds(F.col("doc_id") % 1000).alias("created_at"),
+        "quality",
+        "toxic",
+    )
     store = DocumentStore(spark, scratch_path(spark, "store"))
     blocks = rows.select("document_id", F.lit(1).alias("page_num"), F.posexplode(F.split("text", "\n")).alias("block_idx", "text"), F.lit("paragraph").alias("block_type"))
     store.save(rows.drop("quality", "toxic"), chunks=chunk_rows(blocks))
     store.save(rows.filter("quality = 0").withColumn("document_type", F.lit("second")).drop("quality", "toxic"))
+    store.delete_all(rows.filter("toxic = 1"))
+    return store
+
+
+def store_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a store after saves, replacements and deletions, with their numbers of chunks."""
+    store = _stored(spark, sf_dir)
     chunks = store.table("chunks").groupBy("document_id").agg(F.count("*").alias("n_chunks"))
-    return store.table("documents").join(chunks, "document_id", "left").select("document_id", "document_type", "created_at", F.length("text").cast("bigint").alias("n_chars"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    rows = store.table("documents").join(chunks, "document_id", "left")
+    return rows.select("document_id", "document_type", "created_at", F.length("text").cast("bigint").alias("n_chars"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
 
+def store_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of twenty, the newest first, with the number of all documents."""
+    store = _stored(spark, sf_dir)
+    return store.page(20, 20).select("document_id", "document_type", "created_at", F.lit(store.count()).cast("bigint").alias("total"))
 
-STORE_SQL = """
-SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS document_id, CASE WHEN quality = 0 THEN 'second' ELSE 'first' END AS document_type,
-  make_timestamp(CAST(doc_id % 1000 AS BIGINT) * 1000000) AS created_at, CAST(least(length(text), 100000) AS BIGINT) AS n_chars, CASE WHEN quality = 0 THEN 0 ELSE len(string_split(text, chr(10))) END AS n_chunks
-FROM documents JOIN labels USING (doc_id)
+
+def store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document by its id: the first that the labels name and that isn't toxic; nothing for the first toxic one."""
+    store, labels = _stored(spark, sf_dir), table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    some = [r[0] for toxic in (0, 1) for r in labels.filter(F.col("toxic") == toxic).agg(F.min("doc_id")).collect()]  # two numbers
+    found = [store.get(str(i).zfill(12)) for i in some if i is not None]
+    return functools.reduce(DataFrame.unionByName, found).select("document_id", "document_type", F.length("text").cast("bigint").alias("n_chars"))
+
+
+_KEPT = """kept AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS document_id, CASE WHEN quality = 0 THEN 'second' ELSE 'first' END AS document_type, quality, text, doc_id,
+  make_timestamp(CAST(doc_id % 1000 AS BIGINT) * 1000000) AS created_at FROM documents JOIN labels USING (doc_id) WHERE toxic IS DISTINCT FROM 1)"""
+STORE_SQL = f"""
+WITH {_KEPT} SELECT document_id, document_type, created_at, CAST(least(length(text), 100000) AS BIGINT) AS n_chars,
+  CASE WHEN quality = 0 THEN 0 ELSE len(string_split(text, chr(10))) END AS n_chunks FROM kept
+"""
+STORE_PAGE_SQL = f"""
+WITH {_KEPT} SELECT document_id, document_type, created_at, (SELECT count(*) FROM kept) AS total FROM kept ORDER BY created_at DESC, document_id LIMIT 20 OFFSET 20
+"""
+STORE_GET_SQL = f"""
+WITH {_KEPT} SELECT document_id, document_type, CAST(least(length(text), 100000) AS BIGINT) AS n_chars FROM kept
+WHERE doc_id = (SELECT min(doc_id) FROM documents JOIN labels USING (doc_id) WHERE toxic = 0)
 """
 
 
@@ -193,10 +274,12 @@ FROM s
 KINDS = tuple(k for k, *_ in fixed_values.RECOGNISERS)
 QUERIES = {f"entities_{k}": _of_kind(k) for k in KINDS} | {
     "entities_dedup": entities_dedup, "entities_linked": entities_linked, "entity_role_counts": entity_role_counts, "roles_by_type": roles_by_type, "entities_in_documents": entities_in_documents, "structured_fields": structured_fields,
-    "render_json": _rendering("json"), "render_csv": _rendering("csv"), "render_markdown": _rendering("markdown"), "document_plan": document_plan, "store_listing": store_listing, "page_addresses": page_addresses,
+    "render_json": _rendering("json"), "render_csv": _rendering("csv", documents.Options(run_summary=False, run_keywords=False)), "render_markdown": _rendering("markdown"),
+    "document_plan": document_plan, "document_plan_rendered": document_plan_rendered, "store_listing": store_listing, "store_page": store_page, "store_get": store_get, "page_addresses": page_addresses,
 }
 ORACLE_SQL = {f"entities_{k}": f'WITH {recognised_sql((k,))} SELECT doc_id, ord, text, start, "end", normalized FROM e' for k in KINDS} | {
     "entities_dedup": DEDUP_SQL, "entities_linked": f"WITH {LINKED_CTES} SELECT {_QUOTED} FROM g", "entity_role_counts": f"WITH {LINKED_CTES} SELECT entity_type, role, count(*) AS n FROM g GROUP BY ALL",
     "roles_by_type": f"WITH {LINKED_CTES} SELECT document_type, entity_type, role, count(*) AS n FROM g JOIN (SELECT doc_id, document_type FROM ({RULE_TYPES_SQL}) WHERE doc_id < 1000000000) USING (doc_id) GROUP BY ALL",
-    "structured_fields": _fields_sql(), "store_listing": STORE_SQL, "page_addresses": PAGES_SQL,
+    "structured_fields": _fields_sql(), "render_csv": CSV_SQL, "document_plan_rendered": PLAN_SQL, "store_listing": STORE_SQL, "store_page": STORE_PAGE_SQL, "store_get": STORE_GET_SQL,
+    "entities_in_documents": f"WITH {recognised_sql(documents=True)}, {_DEDUP}, {_roles_sql()} SELECT {_QUOTED} FROM g", "page_addresses": PAGES_SQL,
 }

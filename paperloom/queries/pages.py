@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import fixed_values
 from paperloom.functions import geometry as G
 from paperloom.operators import classify, layout, tables
-from paperloom.queries.text import INK, sql_strip, sql_tokens, table
+from paperloom.queries.text import INK, SPACE, sql_strip, sql_tokens, table
 
 PER_PAGE, WIDTH, HEIGHT = 24, 612.0, 792.0
 
@@ -63,8 +63,7 @@ def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _T = sql_strip("text")
 _TOK = sql_tokens("t")
-LAYOUT_SQL = f"""
-WITH {BLOCKS}, {FONTS}, {COLS},
+LAYOUT = f"""{BLOCKS}, {FONTS}, {COLS},
 z AS (SELECT b.*, dominant_font, columns, CASE WHEN y0 IS NULL THEN 'body' WHEN (y0 + y1) / 2 <= {HEIGHT} * 0.1::DOUBLE THEN 'header' WHEN (y0 + y1) / 2 >= {HEIGHT} * 0.9::DOUBLE THEN 'footer' ELSE 'body' END AS zone,
   {_T} AS t FROM b JOIN fo USING (doc_id, page_num) JOIN co USING (doc_id, page_num)),
 y AS (SELECT *, len({_TOK}) AS words FROM z),
@@ -72,7 +71,9 @@ r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{INK}') THEN 'paragraph' WHE
   WHEN regexp_matches(t, '{fixed_values.BULLET}') OR regexp_matches(t, '{fixed_values.NUMBERED}') THEN 'list_item' WHEN regexp_matches(t, '{fixed_values.CAPTION}') THEN 'caption'
   WHEN size >= 16 AND words <= 15 THEN CASE WHEN size > dominant_font * 1.5::DOUBLE THEN 'title' ELSE 'header' END WHEN size >= 12 AND words <= 15 THEN 'header' WHEN zone = 'header' AND words <= 15 THEN 'header'
   WHEN words <= 8 AND upper(t) = t AND lower(t) <> t THEN 'header' ELSE 'paragraph' END AS block_type,
-  CASE WHEN columns <= 1 THEN 0 ELSE coalesce(least(CAST(floor((x0 + x1) / 2 / ({WIDTH} / columns)) AS INTEGER), columns - 1), 0) END AS col FROM y)
+  CASE WHEN columns <= 1 THEN 0 ELSE coalesce(least(CAST(floor((x0 + x1) / 2 / ({WIDTH} / columns)) AS INTEGER), columns - 1), 0) END AS col FROM y)"""
+LAYOUT_SQL = f"""
+WITH {LAYOUT}
 SELECT doc_id, page_num, block_idx, zone, block_type, CAST(col AS INTEGER) AS "column", CAST(row_number() OVER (PARTITION BY doc_id, page_num ORDER BY col, coalesce(y0, 0), block_idx) - 1 AS INTEGER) AS reading_order FROM r
 """
 
@@ -117,6 +118,36 @@ def kept_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.kept_boxes(blocks(spark, sf_dir), 0.1)
 
 
+_BOX = "struct_pack(i := block_idx, x0 := x0, y0 := y0, x1 := x1, y1 := y1)"
+_W = "(least(q.x1, bs[k + 1].x1) - greatest(q.x0, bs[k + 1].x0))"
+_H = "(least(q.y1, bs[k + 1].y1) - greatest(q.y0, bs[k + 1].y0))"
+_AREAS = "((q.x1 - q.x0) * (q.y1 - q.y0) + (bs[k + 1].x1 - bs[k + 1].x0) * (bs[k + 1].y1 - bs[k + 1].y0))"
+#: One box after another, the largest first: it stays if no kept one overlaps it too much.
+KEPT_SQL = f"""
+WITH RECURSIVE {BLOCKS},
+o AS (SELECT doc_id, page_num, list({_BOX} ORDER BY (x1 - x0) * (y1 - y0) DESC, block_idx) AS bs FROM b WHERE x0 IS NOT NULL GROUP BY ALL),
+s AS (SELECT doc_id, page_num, 0 AS k, bs[1:0] AS kept, bs FROM o
+  UNION ALL
+  SELECT doc_id, page_num, k + 1, CASE WHEN len(list_filter(kept, lambda q: {_W} > 0 AND {_H} > 0 AND {_W} * {_H} / ({_AREAS} - {_W} * {_H}) >= 0.1::DOUBLE)) > 0
+    THEN kept ELSE list_append(kept, bs[k + 1]) END, bs FROM s WHERE k < len(bs))
+SELECT doc_id, page_num, CAST(x.i AS INTEGER) AS block_idx FROM (SELECT doc_id, page_num, unnest(kept) AS x FROM s WHERE k = len(bs))
+"""
+#: Sweep after sweep: c is the sweep's cluster, i the next box, m the cluster's members so far, made the clusters of the boxes.
+CLUSTERS_SQL = f"""
+WITH RECURSIVE {BLOCKS},
+o AS (SELECT doc_id, page_num, list(struct_pack(i := block_idx, x := (x0 + x1) / 2, y := (y0 + y1) / 2) ORDER BY block_idx) AS bs FROM b WHERE x0 IS NOT NULL GROUP BY ALL),
+s AS (SELECT doc_id, page_num, bs, 0 AS c, 1 AS i, bs[1:0] AS m, list_transform(bs, lambda z: -1) AS made FROM o
+  UNION ALL
+  SELECT doc_id, page_num, bs, CASE WHEN i > len(bs) THEN c + 1 ELSE c END, CASE WHEN i > len(bs) THEN 1 ELSE i + 1 END,
+    CASE WHEN i > len(bs) THEN bs[1:0] WHEN joins THEN list_append(m, bs[i]) ELSE m END,
+    CASE WHEN joins THEN list_transform(made, lambda z, j: CASE WHEN j = i THEN c ELSE z END) ELSE made END
+  FROM (SELECT *, i <= len(bs) AND made[i] = -1 AND (len(m) = 0 OR len(list_filter(m, lambda q: (q.x - bs[i].x) * (q.x - bs[i].x) + (q.y - bs[i].y) * (q.y - bs[i].y) <= 3600)) > 0) AS joins
+    FROM s WHERE list_contains(made, -1)))
+SELECT doc_id, page_num, CAST(bs[n].i AS INTEGER) AS block_idx, CAST(made[n] AS INTEGER) AS cluster
+FROM (SELECT *, unnest(generate_series(1, len(bs))) AS n FROM s WHERE NOT list_contains(made, -1))
+"""
+
+
 def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.proximity_clusters(blocks(spark, sf_dir), 60.0)
 
@@ -127,6 +158,18 @@ def block_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.round(c, 6).alias(c) for c in sorted(out.columns) if c != "doc_id"))
 
 
+_N = lambda c: f"CAST(count(*) FILTER ({c}) AS DOUBLE)"
+_YES = lambda c: f"CAST({c} > 0 AS DOUBLE)"
+FEATURES_SQL = f"""
+WITH {LAYOUT}, f AS (SELECT doc_id, round(avg(len({sql_tokens('text')})), 6) AS words, {_N("block_type IN ('header', 'title')")} AS heads, {_N("block_type = 'list_item'")} AS items,
+  {_N("block_type = 'paragraph'")} AS paragraphs, CAST(count(DISTINCT page_num) AS DOUBLE) AS n FROM r GROUP BY doc_id)
+SELECT doc_id, words AS struct_avg_block_words, {_YES('items')} AS struct_has_bullet_lists, {_YES('heads')} AS struct_has_headers, 0.0::DOUBLE AS struct_has_tables,
+  heads AS struct_header_count, items AS struct_list_item_count, CAST(n > 1 AS DOUBLE) AS struct_multi_page, n AS struct_page_count, paragraphs AS struct_paragraph_count,
+  CAST(n = 1 AS DOUBLE) AS struct_single_page, 0.0::DOUBLE AS struct_table_count
+FROM f
+"""
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words on pages: those of each conversation turn, three to a row, a few rows shorter."""
     w = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_num"), F.posexplode(F.split("text", " ")).alias("word_idx", "word"))
@@ -148,14 +191,36 @@ def whitespace_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "page_num", F.size("rows").cast("bigint").alias("n_rows"), F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/").alias("cells"), "method")
 
 
-WHITESPACE_SQL = f"""
-WITH {WORDS}, r AS (SELECT doc_id, page_num, CAST(round_even(y0 / 5.0, 0) * 5 AS INTEGER) AS row, list(word ORDER BY x0, i) AS cells FROM w GROUP BY ALL),
-c AS (SELECT *, count(*) OVER p AS buckets, len(cells) AS n FROM r WINDOW p AS (PARTITION BY doc_id, page_num)),
+def _whitespace(source: str) -> str:
+    """Tables a(doc_id, page_num, all_rows) of the words of a source."""
+    return f"""
+ro AS (SELECT doc_id, page_num, CAST(round_even(y0 / 5.0, 0) * 5 AS INTEGER) AS row, list(word ORDER BY x0, i) AS cells FROM {source} GROUP BY ALL),
+c AS (SELECT *, count(*) OVER p AS buckets, len(cells) AS n FROM ro WINDOW p AS (PARTITION BY doc_id, page_num)),
 d AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_num) AS wide FROM c WHERE n >= 2),
 u AS (SELECT * FROM (SELECT doc_id, page_num, n, count(*) AS k FROM d GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id, page_num ORDER BY k DESC, n) = 1),
-a AS (SELECT d.doc_id, d.page_num, list(array_to_string(cells, '|') ORDER BY row) AS all_rows FROM d JOIN u USING (doc_id, page_num, n) WHERE buckets >= 3 AND wide >= 3 AND k >= 3 GROUP BY ALL)
+a AS (SELECT d.doc_id, d.page_num, list(array_to_string(cells, '|') ORDER BY row) AS all_rows FROM d JOIN u USING (doc_id, page_num, n)
+  WHERE buckets >= 3 AND wide >= 3 AND k >= 3 GROUP BY ALL)"""
+
+
+WHITESPACE_SQL = f"""
+WITH {WORDS}, {_whitespace("w")}
 SELECT doc_id, page_num, CAST(len(all_rows) - 1 AS BIGINT) AS n_rows, all_rows[1] AS headers, array_to_string(all_rows[2:], '/') AS cells, 'whitespace_columns' AS method FROM a
 """
+RULED_SQL = f"""
+WITH {WORDS}, p AS (SELECT doc_id, page_num, max(y0 + 10) AS low FROM w WHERE page_num % 2 = 0 GROUP BY ALL),
+h AS (SELECT doc_id, page_num, unnest(generate_series(45, CAST(low AS BIGINT) + 30, 30)) AS y FROM p),
+hb AS (SELECT *, lead(y) OVER (PARTITION BY doc_id, page_num ORDER BY y) AS far FROM h),
+cells AS (SELECT doc_id, page_num, y, far, v.* FROM hb, (VALUES (0, 30, 180), (1, 180, 330), (2, 330, 480)) AS v(col, x, wide) WHERE far IS NOT NULL),
+enough AS (SELECT doc_id, page_num FROM cells GROUP BY ALL HAVING count(*) >= 4),
+ct AS (SELECT cells.doc_id, cells.page_num, y, col, {sql_strip("regexp_replace(coalesce(string_agg(word, ' ' ORDER BY i), ''), '" + SPACE + "+', ' ', 'g')")} AS text
+  FROM cells JOIN enough USING (doc_id, page_num)
+  LEFT JOIN w ON w.doc_id = cells.doc_id AND w.page_num = cells.page_num AND w.x0 + 20 >= x AND w.x0 + 20 < wide AND w.y0 + 5 >= y AND w.y0 + 5 < far GROUP BY ALL),
+rt AS (SELECT doc_id, page_num, y, string_agg(text, '|' ORDER BY col) AS line FROM ct GROUP BY ALL),
+t AS (SELECT doc_id, page_num, list(line ORDER BY y) AS all_rows FROM rt GROUP BY ALL),
+rest AS (SELECT * FROM w ANTI JOIN t USING (doc_id, page_num)), {_whitespace("rest")}
+SELECT doc_id, page_num, 'ruled_lines' AS method, CAST(greatest(len(all_rows) - 1, 1) AS BIGINT) AS n_rows, all_rows[least(2, len(all_rows))] AS first_row FROM t
+UNION ALL SELECT doc_id, page_num, 'whitespace_columns', CAST(len(all_rows) - 1 AS BIGINT), all_rows[2] FROM a
+"""
 
 
 def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,5 +266,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "dominant_fonts": f"WITH {BLOCKS}, {FONTS} SELECT * FROM fo", "column_counts": f"WITH {BLOCKS}, {COLS} SELECT * FROM co", "page_layout": LAYOUT_SQL, "page_margins": MARGINS_SQL, "box_pairs": BOXES_SQL,
+    "kept_boxes": KEPT_SQL, "proximity_clusters": CLUSTERS_SQL, "block_features": FEATURES_SQL, "ruled_tables": RULED_SQL,
     "whitespace_tables": WHITESPACE_SQL, "ocr_blocks": OCR_SQL, "otsu_thresholds": OTSU_SQL,
 }

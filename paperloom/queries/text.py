@@ -10,12 +10,13 @@ from paperloom.functions import text as T
 from paperloom.functions.fixed_values import DOCUMENT_TYPES, OTHER_THRESHOLD, SIGNATURES, THRESHOLDS
 from paperloom.operators import boilerplate, classify, keywords
 from paperloom.sources import render
+from paperloom.sources.tables import read_table, spread
 
 SPACE, INK, RUN, CONTROL = T.SPACE, T.INK, T.RUN, T.CONTROL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read_table(spark, sf_dir, name))
 
 
 def sql_text(x: str) -> str:
@@ -152,6 +153,22 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", boilerplate.cleaned(F.col("text")).alias("cleaned"))
 
 
+def sql_tidy(x: str) -> str:
+    x = f"regexp_replace({x}, '{CONTROL}', '', 'g')"
+    for pattern, meant in fixed_values.MISREAD:
+        x = f"regexp_replace({x}, '{pattern}', '{meant}', 'g')"
+    for pattern, meant in (("\\r\\n?", "chr(10)"), ("[ \\t]*\\n[ \\t]*", "chr(10)"), ("[ \\t]+", "' '"), ("\\n{4,}", "repeat(chr(10), 3)")):
+        x = f"regexp_replace({x}, '{pattern}', {meant}, 'g')"
+    return sql_strip(x)
+
+
+#: Letters lose their accents, what then isn't ASCII goes.
+CLEAN_PAGES_SQL = f"""
+WITH a AS (SELECT doc_id, regexp_replace(strip_accents({sql_plain_forms('text')}), '[^\\x00-\\x7F]', '', 'g') AS t FROM documents)
+SELECT doc_id, {sql_tidy('t')} AS cleaned FROM a
+"""
+
+
 def rule_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = render.rendered(spark, sf_dir).unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "text"))
     out = classify.rule_classified(docs)
@@ -214,24 +231,43 @@ def model_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.model_classified(render.rendered(spark, sf_dir), classify.fit_text_model(spark))
 
 
+PAGE_LINES = 10
+
+
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_num, text: the documents in pages of ten lines, with a running title above and a number below."""
+    lines = F.split("text", "\n")
+    cut = F.transform(F.sequence(F.lit(1), F.ceil(F.size(lines) / PAGE_LINES).cast("int")), lambda p: F.array_join(F.slice(lines, (p - 1) * PAGE_LINES + 1, F.lit(PAGE_LINES)), "\n"))
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    rows = docs.select("doc_id", F.posexplode(cut).alias("i", "t"))
+    number = (F.col("i") + 1).cast("int")
+    text = F.concat(F.lit(" Report "), F.col("doc_id").cast("string"), F.lit(" \n"), F.col("t"), F.lit("\nPage "), number.cast("string"))
+    return rows.select("doc_id", number.alias("page_num"), text.alias("text"))
+
+
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.repeated_lines(table(spark, sf_dir, "conversations"), 2, "conv_id", "turn")
+    return boilerplate.repeated_lines(paged(spark, sf_dir))
 
 
 def without_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.without_repeated_lines(table(spark, sf_dir, "conversations"), 2, "conv_id", "turn")
+    return boilerplate.without_repeated_lines(paged(spark, sf_dir))
 
 
 _LINES = "CASE WHEN t = '' THEN [] WHEN t LIKE '%' || chr(10) THEN string_split(t, chr(10))[1:-2] ELSE string_split(t, chr(10)) END"
 _REPEATED = f"""
-l AS (SELECT conv_id AS doc_id, turn AS page_num, text, {_LINES} AS l FROM (SELECT *, regexp_replace(text, '\\r\\n|\\r', chr(10), 'g') AS t FROM conversations)),
+s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+n0 AS (SELECT *, unnest(generate_series(1, CAST(ceil(len(l) / {PAGE_LINES}) AS BIGINT))) AS p FROM s),
+pg AS (SELECT doc_id, CAST(p AS INTEGER) AS page_num,
+  ' Report ' || doc_id || ' ' || chr(10) || array_to_string(l[(p - 1) * {PAGE_LINES} + 1 : p * {PAGE_LINES}], chr(10)) || chr(10) || 'Page ' || p AS text FROM n0),
+l AS (SELECT doc_id, page_num, text, {_LINES} AS l FROM (SELECT *, regexp_replace(text, '\\r\\n|\\r', chr(10), 'g') AS t FROM pg)),
 e AS (SELECT doc_id, 'top' AS edge, unnest(l[1:2]) AS line FROM l UNION ALL SELECT doc_id, 'bottom', unnest(l[-2:]) FROM l),
-r AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, edge, {sql_strip('line')} AS line FROM e) WHERE line <> '' GROUP BY doc_id, edge, line HAVING count(*) >= 2)
+r AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, edge, {sql_strip('line')} AS line FROM e) WHERE line <> '' GROUP BY doc_id, edge, line HAVING count(*) >= 3)
 """
 REPEATED_LINES_SQL = f"WITH {_REPEATED} SELECT doc_id, line FROM r"
 WITHOUT_REPEATED_SQL = f"""
 WITH {_REPEATED}, d AS (SELECT doc_id, list(line) AS dr FROM r GROUP BY ALL), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY ALL)
-SELECT l.doc_id, l.page_num, CASE WHEN n.n < 2 THEN l.text ELSE array_to_string(list_filter(l.l, lambda x: NOT list_contains(coalesce(d.dr, []), {sql_strip('x')})), chr(10)) END AS text
+SELECT l.doc_id, l.page_num,
+  CASE WHEN n.n < 3 THEN l.text ELSE array_to_string(list_filter(l.l, lambda x: NOT list_contains(coalesce(d.dr, []), {sql_strip('x')})), chr(10)) END AS text
 FROM l JOIN n USING (doc_id) LEFT JOIN d USING (doc_id)
 """
 
@@ -244,6 +280,6 @@ QUERIES = {
 ORACLE_SQL = {
     "text_statistics": TEXT_STATISTICS_SQL, "language_by_source": LANGUAGE_SQL, "word_frequency_topk": WORD_FREQUENCY_SQL, "word_frequency_by_lang": WORD_FREQUENCY_BY_LANG_SQL,
     "sentences": _pieces_sql("sentence", sql_sentences), "plain_sentences": _pieces_sql("sentence", plain_sentences_sql), "paragraphs": _pieces_sql("paragraph", sql_paragraphs),
-    "clean_text": CLEAN_TEXT_SQL, "rule_types": RULE_TYPES_SQL, "type_counts": TYPE_COUNTS_SQL, "keyword_features": KEYWORD_FEATURES_SQL, "structure_features": _structure_sql(),
+    "clean_text": CLEAN_TEXT_SQL, "clean_pages": CLEAN_PAGES_SQL, "rule_types": RULE_TYPES_SQL, "type_counts": TYPE_COUNTS_SQL, "keyword_features": KEYWORD_FEATURES_SQL, "structure_features": _structure_sql(),
     "repeated_lines": REPEATED_LINES_SQL, "without_repeated_lines": WITHOUT_REPEATED_SQL,
 }

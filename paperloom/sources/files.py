@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import importlib.util
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.fixed_values import MAGIC_BYTES, SUFFIXES
+from paperloom.shipping import ship_package
 
 MIME = {
     "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff", "bmp": "image/bmp", "gif": "image/gif", "webp": "image/webp",
@@ -96,36 +97,104 @@ def capabilities() -> dict[str, bool]:
     return {"pdf": has("fitz"), "images": has("PIL"), "ocr": has("pytesseract"), "opencv": has("cv2"), "yaml": has("yaml"), "entities": True, "classification": True, "summaries": True, "storage": True}
 
 
-EXTRACTED = "path string, page_num int, width double, height double, block_idx int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, font_name string, error string"
-
-
-def pdf_blocks(files: DataFrame) -> DataFrame:
-    """One row per text block of PDF files; a file that can't be read is a row with its error. Needs the PDF library."""
-    if not capabilities()["pdf"]:
+#: What a PDF file says about itself: our names and its.
+PDF_METADATA = {
+    "title": "title",
+    "author": "author",
+    "subject": "subject",
+    "keywords": "keywords",
+    "creator": "creator",
+    "producer": "producer",
+    "creation_date": "creationDate",
+    "modification_date": "modDate",
+}
+BLOCK = "struct<block_idx:int,text:string,x0:double,y0:double,x1:double,y1:double,font_size:double,font_name:string>"
+IMAGE = "struct<x0:double,y0:double,x1:double,y1:double>"
+PDF_PAGES = (
+    "path string, page_num int, width double, height double, page_count int, metadata map<string,string>, "
+    f"blocks array<{BLOCK}>, images array<{IMAGE}>, error string"
+)
+_PAGE_COLUMNS = ("path", "page_num", "width", "height", "page_count", "metadata", "blocks", "images", "error")
+EXTRACTED = (
+    "path string, page_num int, width double, height double, block_idx int, text string, x0 double, y0 double, x1 double, y1 double, "
+    "font_size double, font_name string, error string"
+)
+
+
+def _metadata(book) -> dict[str, str]:
+    known = book.metadata or {}
+    made = {name: str(known.get(key) or "") for name, key in PDF_METADATA.items()}
+    return made | {"page_count": str(book.page_count), "is_encrypted": "true" if book.is_encrypted else ""}
+
+
+def _text_block(block: dict, k: int) -> tuple | None:
+    """Its lines, and size and font of its longest span; None if it has no text."""
+    lines = ["".join(s["text"] for s in line["spans"]) for line in block["lines"]]
+    text = "\n".join(lines).strip()
+    if not text:
+        return None
+    main = max((s for line in block["lines"] for s in line["spans"]), key=lambda s: len(s["text"]))
+    return (k, text, *map(float, block["bbox"]), float(main["size"]), main["font"])
+
+
+def book_rows(path: str, book) -> list[tuple]:
+    """One row of PDF_PAGES per page, those without any text too; a book without pages is one row without a number."""
+    about, rows = _metadata(book), []
+    for number, page in enumerate(book, 1):
+        blocks, images = [], []
+        for block in page.get_text("dict")["blocks"]:
+            if block.get("type") == 0:
+                made = _text_block(block, len(blocks))
+                blocks += [made] if made else []
+            elif block.get("type") == 1:
+                images.append(tuple(map(float, block["bbox"])))
+        rows.append((path, number, float(page.rect.width), float(page.rect.height), book.page_count, about, blocks, images, None))
+    return rows or [(path, None, None, None, 0, about, [], [], None)]
+
+
+def _open_pdf(content: bytes):
+    import fitz
+
+    return fitz.open(stream=content, filetype="pdf")
+
+
+def pdf_pages(files: DataFrame, open_book: Callable[[bytes], object] | None = None) -> DataFrame:
+    """PDF_PAGES of the PDF files that read_files lists; a file that can't be read is a row with its error.
+
+    open_book: another decoder in place of the usual one, whose books have metadata, page_count, is_encrypted and pages.
+    """
+    if open_book is None and not capabilities()["pdf"]:
         raise RuntimeError("PDF decoding needs a library that isn't installed; tables of blocks can be given instead")
+    ship_package(files.sparkSession)
+    opened = open_book or _open_pdf
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
-
-        columns = [c.split()[0] for c in EXTRACTED.split(", ")]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                rows: list[tuple] = []
                 try:
-                    with fitz.open(stream=content, filetype="pdf") as book:
-                        for number, page in enumerate(book, 1):
-                            k = 0
-                            for block in page.get_text("dict")["blocks"]:
-                                if block.get("type") != 0:
-                                    continue
-                                spans = [s for line in block["lines"] for s in line["spans"]]
-                                text = "\n".join("".join(s["text"] for s in line["spans"]) for line in block["lines"]).strip()
-                                if text:
-                                    main = max(spans, key=lambda s: len(s["text"]))
-                                    rows.append((path, number, page.rect.width, page.rect.height, k, text, *block["bbox"], main["size"], main["font"], None))
-                                    k += 1
+                    with opened(bytes(content)) as book:
+                        rows = book_rows(path, book)
                 except Exception as error:  # one bad file doesn't end the job
-                    rows = [(path, *[None] * 11, str(error))]
-                yield pd.DataFrame(rows, columns=columns)
+                    rows = [(path, None, None, None, None, None, None, None, str(error) or type(error).__name__)]
+                yield pd.DataFrame(rows, columns=list(_PAGE_COLUMNS)).astype({"page_num": "Int32", "page_count": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, PDF_PAGES)
+
+
+def pdf_blocks(files: DataFrame, open_book: Callable[[bytes], object] | None = None) -> DataFrame:
+    """One row per text block of PDF files; a file that can't be read is a row with its error."""
+    pages = pdf_pages(files, open_book).filter(F.col("error").isNotNull() | (F.size("blocks") > 0))
+    rows = pages.select("path", "page_num", "width", "height", F.explode_outer("blocks").alias("b"), "error")
+    return rows.select("path", "page_num", "width", "height", "b.*", "error")
+
 
-    return files.select("path", "content").mapInPandas(run, EXTRACTED)
+def pdf_documents(pages: DataFrame) -> DataFrame:
+    """path, text, page_count, metadata and error, one row per file of PDF_PAGES; pages without text count, and part the text too."""
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    in_order = F.array_sort(F.collect_list(F.struct("page_num", text.alias("t"))))
+    return pages.groupBy("path").agg(
+        F.array_join(F.transform(in_order, lambda p: p["t"]), "\n\n").alias("text"),
+        F.max("page_count").alias("page_count"),
+        F.first("metadata", ignorenulls=True).alias("metadata"),
+        F.max("error").alias("error"),
+    )

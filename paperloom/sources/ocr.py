@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paperloom.shipping import ship_package
 from paperloom.sources import files, pixels
@@ -22,7 +23,10 @@ def page_images(content: bytes, is_pdf: bool, dpi: int) -> Iterator[np.ndarray]:
     from PIL import Image
 
     if not is_pdf:
-        yield np.asarray(Image.open(io.BytesIO(content)).convert("L"))
+        from PIL import ImageSequence
+
+        for frame in ImageSequence.Iterator(Image.open(io.BytesIO(content))):  # of several pages in one file, each
+            yield np.asarray(frame.convert("L"))
         return
     import fitz
 
@@ -44,42 +48,74 @@ def tesseract(language: str, mode: int) -> Callable[[np.ndarray], dict[str, list
     return read
 
 
-def word_rows(doc_id: str, pages: Iterator[np.ndarray], read: Callable[[np.ndarray], dict[str, list]], prepare: bool) -> list[tuple]:
-    """Rows of WORDS; a page that can't be read has no words, and a file that can't be decoded has no further pages."""
+Reader = Callable[[np.ndarray], dict[str, list]]
+
+
+def word_rows(doc_id: str, pages: Iterator[np.ndarray], read: Reader, prepare: bool) -> tuple[list[tuple], int, str | None]:
+    """Rows of WORDS, how many pages there are, and the first error, if any.
+
+    A page that can't be read has no words, and a file that can't be decoded has no further pages.
+    """
     rows: list[tuple] = []
-    number = 0
+    number, problem = 0, None
     while True:
         try:
-            page = next(pages)
+            page = next(pages, None)
         except ImportError:
             raise
-        except Exception:  # also the end of the pages
-            return rows
+        except Exception as error:
+            return rows, number, problem or str(error) or type(error).__name__
+        if page is None:
+            return rows, number, problem
         number += 1
         try:
             found = read(pixels.prepared(page) if prepare else page)
         except ImportError:
             raise
-        except Exception:
+        except Exception as error:
+            problem = problem or f"page {number}: {error}"
             continue
         for i, word in enumerate(zip(*(found[k] for k in WORD_FIELDS))):
             rows.append((doc_id, number, i, *(int(float(x)) for x in word[:-1]), str(word[-1])))
 
 
-def ocr_words(scans: DataFrame, language: str = "eng", dpi: int = 300, mode: int = 3, prepare: bool = False, read: Callable[[np.ndarray], dict[str, list]] | None = None) -> DataFrame:
-    """One row per word of the files that read_files lists. prepare: straighten, clean and binarise pages first, as for photographs.
+SCANNED = f"doc_id string, page_count int, words array<struct<{', '.join(c.strip().replace(' ', ':') for c in WORDS.split(', '))}>>, error string"
+
 
-    read: another recogniser in place of the usual one.
+def scanned_files(
+    scans: DataFrame,
+    language: str = "eng",
+    dpi: int = 300,
+    mode: int = 3,
+    prepare: bool | None = None,
+    read: Reader | None = None,
+    draw: Callable[[bytes, bool, int], Iterator[np.ndarray]] | None = None,
+) -> DataFrame:
+    """doc_id, page_count, words and the first error of each file that read_files lists.
+
+    prepare: straighten, clean and binarise pages first; by default images, as photographs need it, and not drawn pages.
+    read, draw: another recogniser, and another decoder of pages, in place of the usual ones.
     """
     able = files.capabilities()
-    if read is None and not (able["ocr"] and able["images"]):
+    if (read is None and not able["ocr"]) or (draw is None and not able["images"]):
         raise RuntimeError("recognition needs libraries that aren't installed; tables of words can be given instead")
     ship_package(scans.sparkSession)
-    recogniser = read or tesseract(language, mode)
+    recogniser, drawn = read or tesseract(language, mode), draw or page_images
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, kind, content in zip(batch["document_id"], batch["file_type"], batch["content"]):
-                yield pd.DataFrame(word_rows(doc_id, page_images(content, kind == "pdf", dpi), recogniser, prepare), columns=COLUMNS)
+                first = kind == "image" if prepare is None else prepare
+                words, pages, error = word_rows(doc_id, iter(drawn(bytes(content), kind == "pdf", dpi)), recogniser, first)
+                yield pd.DataFrame([(doc_id, pages, words, error)], columns=["doc_id", "page_count", "words", "error"])
+
+    return scans.select("document_id", "file_type", "content").mapInPandas(run, SCANNED)
+
+
+def ocr_words(scans: DataFrame, language: str = "eng", dpi: int = 300, mode: int = 3, prepare: bool = False, read: Reader | None = None, draw=None) -> DataFrame:
+    """One row per word of the files that read_files lists."""
+    return words_of(scanned_files(scans, language, dpi, mode, prepare, read, draw))
+
 
-    return scans.select("document_id", "file_type", "content").mapInPandas(run, WORDS)
+def words_of(scanned: DataFrame) -> DataFrame:
+    return scanned.select(F.explode("words").alias("w")).select("w.*")

@@ -46,7 +46,7 @@ FROM (
 """
 
 _LETTER = (
-    "Dear Dr. Jane Miller,\n\nRe: case number: REF-{k}\nI am writing on behalf of {n} Trading GmbHolding about the shipment of January {d}, 2024.\n"
+    "Dear Dr. Jane Miller,\n\nRe: case number: REF-{k}\nI am writing on behalf of {n} Trading GmbH about the shipment of January {d}, 2024.\n"
     "Effective date: {d} March 2023\nWebsite: https://www.example.com/{k}\nAddress: {k} Main Street, Suite {d}\nThe amount due is USD 1,{h}.50, call 1-800-555-{q}.\n\nSincerely,\nMr. John Smith\n"
 )
 
@@ -67,8 +67,9 @@ LETTERS_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, " + "replace(" * 5
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoices, and letters with negative ids."""
-    return invoices(spark, sf_dir).unionByName(letters(spark, sf_dir).withColumn("doc_id", -F.col("doc_id") - 1))
+    """Invoices, and letters with negative ids, over all cores: what reads texts takes far longer than the joins that make them."""
+    texts = invoices(spark, sf_dir).unionByName(letters(spark, sf_dir).withColumn("doc_id", -F.col("doc_id") - 1))
+    return texts.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
 
 
 RENDERED_SQL = f"SELECT * FROM ({INVOICES_SQL}) UNION ALL SELECT -doc_id - 1, text FROM ({LETTERS_SQL})"

@@ -305,7 +305,8 @@ def test_words_of_pages(spark, tmp_path):
             raise ValueError("nothing there")
         return {k: [1, 1] for k in ocr.WORD_FIELDS} | {"text": ["a", "b"], "conf": ["96.5", "-1"]}
 
-    rows = ocr.word_rows("d", iter([np.zeros((1, 1), np.uint8), np.zeros((9, 9), np.uint8)]), read, True)
+    rows, pages, error = ocr.word_rows("d", iter([np.zeros((1, 1), np.uint8), np.zeros((9, 9), np.uint8)]), read, True)
+    assert pages == 2 and error == "page 1: nothing there"
     assert [(r[1], r[2], r[-2], r[-1]) for r in rows] == [(2, 0, 96, "a"), (2, 1, -1, "b")]
     if not files.capabilities()["ocr"]:
         (tmp_path / "a.png").write_bytes(b"\x89PNG....")
@@ -327,6 +328,87 @@ def test_tables_and_metadata_in_formats(spark):
     assert "# Document: /x/a.pdf" in md and "### Table 2 (page 2)\n\n| Item | Qty |\n|---|---|\n| a, b | 1 |\n| c |  |\n" in md and "- **title:** T" in md and "author" not in md
 
 
+class Book:
+    """What a PDF decoder gives, made of a file's text: pages between form feeds, blocks between empty lines, "IMAGE" is one."""
+
+    def __init__(self, content):
+        text = content.decode()
+        if "BROKEN" in text:
+            raise ValueError("no book")
+        self.pages = text.removeprefix("%PDF").split("\f") if "\f" in text else []
+        self.metadata, self.page_count, self.is_encrypted = {"title": "T", "author": None, "modDate": "D:2024"}, len(self.pages), False
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def __iter__(self):
+        return iter(map(Sheet, self.pages))
+
+
+class Sheet:
+    def __init__(self, text):
+        from types import SimpleNamespace
+
+        self.text, self.rect = text, SimpleNamespace(width=612, height=792)
+
+    def get_text(self, _):
+        line = lambda x: {"spans": [{"text": x[:3], "size": 9, "font": "A"}, {"text": x[3:], "size": 12, "font": "B"}]}
+        return {"blocks": [{"type": 1, "bbox": (1, 2, 3, 4)} if b == "IMAGE" else {"type": 0, "bbox": (5, 6, 7, 8), "lines": list(map(line, b.split("\n")))} for b in self.text.split("\n\n")]}
+
+
+def draw_text(content, is_pdf, dpi):
+    if b"BROKEN" in content:
+        raise ValueError("no image")
+    yield np.full((40, 40), 200, np.uint8)
+
+
+def read_text(page):
+    return {k: [1, 1] for k in ocr.WORD_FIELDS} | {"text": ["hello", "scan"], "conf": [90, 91]}
+
+
+def test_books_pages_and_scans(spark, tmp_path):
+    import sys
+
+    from pyspark import cloudpickle
+
+    from paperloom import __main__ as command
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    (tmp_path / "a.pdf").write_bytes(b"%PDFInvoice\nnumber\n\nIMAGE\f\f  \n\nTotal: $5.00")
+    (tmp_path / "none.pdf").write_bytes(b"%PDF")
+    (tmp_path / "bad.pdf").write_bytes(b"%PDF BROKEN")
+    (tmp_path / "c.png").write_bytes(b"\x89PNGhello scan")
+    (tmp_path / "d.png").write_bytes(b"\x89PNGBROKEN")
+    found = files.read_files(spark, str(tmp_path))
+    pages = {(r.path.rsplit("/", 1)[1], r.page_num): r for r in files.pdf_pages(found.filter("file_type = 'pdf'"), Book).collect()}
+    assert set(pages) == {("a.pdf", 1), ("a.pdf", 2), ("a.pdf", 3), ("none.pdf", None), ("bad.pdf", None)} and pages["bad.pdf", None].error == "no book"
+    first = pages["a.pdf", 1]
+    assert [(b.text, b.font_size, b.font_name, b.x0) for b in first.blocks] == [("Invoice\nnumber", 12.0, "B", 5.0)] and [tuple(i) for i in first.images] == [(1.0, 2.0, 3.0, 4.0)]
+    assert first.metadata["title"] == "T" and first.metadata["modification_date"] == "D:2024" and first.metadata["page_count"] == "3" and first.metadata["author"] == ""
+    assert pages["a.pdf", 2].blocks == [] and [b.text for b in pages["a.pdf", 3].blocks] == ["Total: $5.00"]
+    assert files.pdf_blocks(found.filter("file_type = 'pdf'"), Book).count() == 3
+    docs, errors = command.read_documents(spark, str(tmp_path), open_book=Book, read=read_text, draw=draw_text)
+    got = {r.source_path.rsplit("/", 1)[1]: r for r in docs.collect()}
+    assert {k: (r.text, r.page_count) for k, r in got.items()} == {"a.pdf": ("Invoice\nnumber\n\n\n\nTotal: $5.00", 3), "none.pdf": ("", 0), "c.png": ("hello scan", 1)}
+    assert {r.path.rsplit("/", 1)[1] for r in errors.collect()} == {"bad.pdf", "d.png"}
+    made = documents.formatted(documents.run(docs), "markdown").collect()
+    assert any("- **title:** T" in r.markdown and "**Pages:** 3" in r.markdown for r in made)
+    if not files.capabilities()["pdf"]:  # without decoders every file is named
+        docs, errors = command.read_documents(spark, str(tmp_path))
+        assert docs.count() == 0 and errors.count() == 5
+
+
+def test_repeated_and_null_ids_have_their_results(spark):
+    df = spark.createDataFrame([(1, TYPED["invoice"]), (1, TYPED["contract"]), (None, "Pay $5.00 to a@b.org."), (None, None)], "doc_id int, text string")
+    for options in (documents.Options(), documents.Options(use_model=True)):
+        rows = documents.run(df, options).collect()
+        assert len(rows) == 4 and all(r.classification is not None and r.entities is not None and r.summary is not None for r in rows)
+        assert sorted(e.text for r in rows if r.doc_id is None for e in r.entities) == ["$5.00", "a@b.org"]
+
+
 def test_texts_of_blocks(spark):
     blocks = spark.createDataFrame([("d", 2, 0, "c"), ("d", 1, 1, "b"), ("d", 1, 0, "a"), ("d", 1, 2, " ")], "doc_id string, page_num int, block_idx int, text string")
     assert tuple(documents.texts_of_blocks(blocks).first()) == ("d", "a\nb\n\nc", 2)
@@ -354,6 +436,28 @@ def test_store(spark, tmp_path):
     store.save(docs.filter("document_id = 'a'").withColumn("text", F.lit("new")))
     assert store.count() == 2 and store.table("entities").count() == 0 and store.get("a").first().text == "new"
     assert store.delete("a") and not store.delete("a") and store.count() == 1 and [r.document_id for r in store.page(1, 0).collect()] == ["b"]
+    assert len(store._numbers()) == 3  # old versions are removed
+    before = {b: p for b, p in store._newest()[1]["documents"].items()}
+    store.save(spark.createDataFrame([(f"n{i}", "t") for i in range(2)], "document_id string, text string"))
+    after = store._newest()[1]["documents"]
+    assert sum(after.get(b) == p for b, p in before.items()) >= len(before) - 2 and store.count() == 3  # other buckets aren't touched
+    number, version = store._newest()
+    assert not store._claim(number, version) and store._newest()[0] == number  # a number is taken once
+    other, claims = DocumentStore(spark, f"file://{tmp_path}/store"), []
+    claim = store._claim
+
+    def late(number, version):
+        """Another writer is first, once."""
+        if not claims:
+            claims.append(number)
+            other.save(spark.createDataFrame([("z", "first")], "document_id string, text string"))
+        return claim(number, version)
+
+    store._claim = late
+    store.save(spark.createDataFrame([("y", "second")], "document_id string, text string"))
+    assert store.get("z").count() == store.get("y").count() == 1 and store.count() == 5
+    store.delete_all(spark.createDataFrame([("z",), ("none",)], "document_id string"))
+    assert store.count() == 4
 
 
 def test_stream_equals_table(spark, tmp_path):
