@@ -136,18 +136,65 @@ def test_links_of_a_large_group_do_not_depend_on_its_hub(spark):
     sets = {i: frozenset(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
     near = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
     assert all(near(i, 1000) for i in range(60)) and sum(near(i, j) for i in range(60) for j in range(i)) < 60
+    kept = {r.doc_id for r in golay.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0}  # all are linked to 1000, so one stays
+
+
+def near_groups(rows, least=0.8):
+    """The smallest id of each group of near copies, over all pairs."""
+    sets = {i: frozenset(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {find(i) for i in ids}
+
+
+def test_large_group_of_copies_near_the_threshold_matches_brute_force(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows, base = [], [word() for _ in range(150)]
+    for i in range(700):  # blocks of a cluster meet blocks; a third of the copies are linked to none
+        text = list(base)
+        for at in rnd.sample(range(150), rnd.choice([0, 1, 2, 3, 4, 5, 6, 8])):
+            text[at] = word()
+        rows.append((i, " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    prints = {r[0]: np.array(r[1:], np.int64).view(np.uint64) for r in golay.fingerprints(docs, 5, golay.WIDE_WORDS, *docs.columns, repeats=False).collect()}
-    keys = {i: {(k, x) for k in range(golay.WIDE_WORDS) for x in golay.keys_of_pairs(p[k : k + 1])[1].tolist()} for i, p in prints.items()}
-    group = {i: {i} for i in prints}
-    for i in prints:
-        for j in prints:
-            if i < j and keys[i] & keys[j] and golay.distance(prints[i], prints[j]) <= golay.CANDIDATE_BITS and near(i, j):
-                group[i] |= group[j]
-                for x in group[i]:
-                    group[x] = group[i]
-    kept = {r.doc_id for r in golay.drop_near_duplicates(docs).collect()}
-    assert kept == {min(g) for g in group.values()} and len(kept) <= 3
+    kept, right = {r.doc_id for r in golay.drop_near_duplicates(docs).collect()}, near_groups(rows)
+    assert 50 < len(right) < 650 and kept == right
+
+
+def test_sketches_lose_no_pair_and_tell_most_others():
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    for size, similarity, passes in ((90, 0.8, True), (900, 0.8, True), (9000, 0.8, True), (90, 0.7, False), (900, 0.65, False)):
+        common = round(2 * size * similarity / (1 + similarity) + 1e-9)
+        for _ in range(100):
+            shared = draw(common)
+            sets = [np.concatenate((shared, draw(size - common))) for _ in range(2)]
+            true = common / (2 * size - common)
+            bits = golay.distance(*(np.frombuffer(golay.parity_sketch(x), "<u8") for x in sets))
+            assert (bits <= golay.most_odd_cells(np.array([2 * size]), min(0.8, true) if passes else 0.8)[0]) == passes
+
+
+def test_near_copies_need_whole_number_ids_and_stay_whole(spark):
+    with pytest.raises(ValueError):
+        golay.drop_near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    text = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, text, 7), (2, text + " end", 8), (2, "other words of the same id", 9), (3, "short", 1), (4, "short", 2), (None, text, 3)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, cluster int").withColumns({c: F.lit(1) for c in ("s", "group", "home", "n", "id", "__id")})
+    kept = golay.drop_near_duplicates(docs)
+    assert kept.schema == docs.schema and sorted((r.doc_id or 0, r.cluster) for r in kept.collect()) == [(0, 3), (1, 7), (3, 1)]
+    assert golay.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_near_copies_with_repeated_lines_are_dropped(spark):
@@ -235,9 +282,53 @@ def test_long_spaced_and_repeated_words_are_restored(spark):
     rows = labelled(spark)
     model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
     spaced = " ".join("theriverworthlessidiot")
-    texts = [spaced, f"river {spaced} stone", ".".join("gatherwinterstupidmoron"), "1d1" + "o" * 60 + "t", "river " + " ".join("stoneanthem" * 6), "1d1ot" + "x7q" * 15]
+    texts = [spaced, f"river {spaced} stone", ".".join("gatherwinterstupidmoron"), "1d1" + "o" * 60 + "t", "river " + " ".join("stoneanthem" * 6), "x7q" * 20]
+    got = [r.score >= 0.7 for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert len(spaced) > 40 and got == [True, True, True, True, False, False]
+    texts = ["rivеr", "stone idiоt", "ѕtuрid river", "ｉｄｉｏｔ", "𝐬𝐭𝐮𝐩𝐢𝐝 hand", "слово и дело", "the mоtor", "1d1ot" * 9]
     got = [r.score >= 0.7 for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
-    assert len(spaced) > toxicity.LONGEST_WORD and got == [True, True, True, True, False, False]
+    assert got == [False, True, True, True, True, False, False, True]
+
+
+def best_reading(word, costs):
+    """All readings of a word, one after another."""
+    lattice, best = toxicity.readings(word), None
+
+    def go(i, a, b, cost, made):
+        nonlocal best
+        if i == len(lattice):
+            found = (cost + (float(costs[a, b, 0]) if b else 0.0), made)
+            best = found if best is None or found < best else best
+            return
+        for x, extra in lattice[i]:
+            if x == "" or (x == " " and b == 0):
+                go(i + 1, a, b, cost + extra, made)
+            else:
+                c = toxicity.CODE.get(x, 0)
+                go(i + 1, b if c else 0, c, cost + extra + float(costs[a, b, c]), made + x)
+
+    go(0, 0, 0, 0.0, "")
+    return best[1].strip()
+
+
+def test_viterbi_finds_the_best_of_all_readings():
+    rnd = random.Random(4)
+    counts = np.zeros((toxicity.SIZE,) * 3)
+    for word in ("idiot", "stupid", "other", "élan", "a", "is"):
+        codes = [0, 0, *(toxicity.CODE[c] for c in word), 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            counts[a if b else 0, b, c] += rnd.randint(1, 90)
+    for costs in (toxicity.language_model(counts), toxicity.language_model(np.random.default_rng(1).integers(0, 9, (toxicity.SIZE,) * 3))):
+        for _ in range(150):
+            word = "".join(rnd.choice("idotsup1!0$@. -5ео|") for _ in range(rnd.randint(0, 8)))
+            assert toxicity.viterbi(word, costs) == best_reading(word, costs), word
+
+
+def test_toxic_documents_are_dropped_beside_clashing_columns(spark):
+    rows = labelled(spark)
+    docs = rows.withColumns({c: F.lit(1) for c in ("score", "__score", "features")})
+    kept = toxicity.drop_toxic(docs, rows.select("doc_id", "toxic"))
+    assert kept.columns == docs.columns and kept.count() == 720
 
 
 def test_decoding_in_parts_is_decoding_of_the_whole(monkeypatch):
