@@ -61,10 +61,16 @@ def block_role(text: Column, font_size: Column, dominant: Column, zone_: Column
     )
 
 
-def analysed(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """The blocks with zone, new block_type, columns, column and reading_order (from 0)."""
-    rows = blocks.join(pages.select(*PAGE, "width", "height"), list(PAGE)).join(dominant_fonts(blocks), list(PAGE)).join(column_counts(blocks, pages), list(PAGE))
-    rows = rows.withColumn("zone", zone(F.col("bbox"), F.col("height")))
+def analysed(
+    blocks: DataFrame, pages: DataFrame, gap_share: float = 0.05, header_share: float = 0.1, footer_share: float = 0.1, most_columns: int = 3
+) -> DataFrame:
+    """The blocks with zone, new block_type, columns, column and reading_order (from 0).
+
+    gap_share: of the page's width, that a gap between columns has at least; header_share and footer_share: of its height.
+    """
+    columns = column_counts(blocks, pages, gap_share, most_columns)
+    rows = blocks.join(pages.select(*PAGE, "width", "height"), list(PAGE)).join(dominant_fonts(blocks), list(PAGE)).join(columns, list(PAGE))
+    rows = rows.withColumn("zone", zone(F.col("bbox"), F.col("height"), header_share, footer_share))
     rows = rows.withColumn("block_type", block_role(F.col("text"), F.col("font_size"), F.col("dominant_font"), F.col("zone"), F.col("block_type")))
     at = F.least(F.floor(G.center_x(F.col("bbox")) / (F.col("width") / F.col("columns"))).cast("int"), F.col("columns") - 1)
     rows = rows.withColumn("column", F.when(F.col("columns") <= 1, 0).otherwise(F.coalesce(at, F.lit(0))))

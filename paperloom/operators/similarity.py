@@ -17,18 +17,33 @@ def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return counts.join(norms, "id")
 
 
-def pair_scores(left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b, score for all pairs with a common term, from two tables of term counts; one equi-join on the term."""
+#: Rows of term counts up to which one side is broadcast, and the parts into which each term is dealt beyond that.
+BROADCAST_TERMS, SALTS = 200_000, 16
+
+
+def pair_scores(left: DataFrame, right: DataFrame, once: bool = False) -> DataFrame:
+    """a, b, score for all pairs with a common term, from two tables of term counts; once: only a < b.
+
+    One equi-join on the term. If the left side is small (it is counted), it is broadcast, and a term that most documents have
+    meets the others where they are; else each term is dealt into SALTS parts.
+    """
     x = left.select(F.col("id").alias("a"), "term", F.col("n").alias("na"), F.col("norm").alias("norm_a"))
     y = right.select(F.col("id").alias("b"), "term", F.col("n").alias("nb"), F.col("norm").alias("norm_b"))
-    dots = x.join(y, "term").groupBy("a", "b", "norm_a", "norm_b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
+    if x.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        on, x = y["term"] == x["term"], F.broadcast(x)
+    else:
+        x = x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        y = y.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        on = (y["term"] == x["term"]) & (y["salt"] == x["salt"])
+    met = y.join(x, on & (F.col("a") < F.col("b")) if once else on)
+    dots = met.groupBy("a", "b", "norm_a", "norm_b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
     return dots.select("a", "b", (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("score"))
 
 
 def similarity_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """a, b, score for all ordered pairs: 1 on the diagonal, 0 without a common term. For a corpus whose square fits."""
     counts = term_counts(docs, doc_id, text)
-    half = pair_scores(counts, counts).filter("a < b")
+    half = pair_scores(counts, counts.select("*"), once=True)
     ids = docs.select(F.col(doc_id).alias("a"))
     found = half.union(half.select("b", "a", "score"))
     grid = ids.crossJoin(ids.withColumnRenamed("a", "b"))
