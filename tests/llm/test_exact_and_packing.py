@@ -117,5 +117,23 @@ def test_packing_round_trip(spark, small):
     assert len(places) <= 1.02 * -(-total // 512) + 1
 
 
+def test_short_way_agrees_with_the_library_on_random_latin_text():
+    rnd = np.random.default_rng(6)
+    signs, plain = [chr(c) for c in range(256)], list("etaoin  \n'sS01-._")
+    library, own = Tokenizer.from_file(WORDS), packing.WordTokenizer(WORDS)
+    library.encode_special_tokens = True
+    assert own.short
+    for _ in range(400):
+        text = "".join(signs[rnd.integers(256)] if rnd.random() < 0.4 else plain[rnd.integers(len(plain))] for _ in range(rnd.integers(0, 200)))
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_reaches_the_lower_bound(spark, small):
+    rows = packing.pack_documents(spark.read.parquet(f"{small}/documents.parquet"), WORDS).select("sequence_id", "length").collect()
+    full = sum(r.length == 2048 for r in rows)
+    rest = sum(r.length for r in rows if r.length < 2048)
+    assert len({r.sequence_id for r in rows}) <= full + -(-rest // 2048) + 1
+
+
 def test_query_is_registered():
     assert "op6_exact_complement_packing" in queries.QUERIES and "op7_skew_safe_exact_dedup" in queries.ORACLE_SQL
