@@ -25,7 +25,13 @@ def repeated_lines(pages: DataFrame, least: int = 3, doc_id: str = "doc_id", pag
     """doc_id, line: lines that the first two lines of pages hold at least so many times, or the last two."""
     rows = pages.select(F.col(doc_id).alias("doc_id"), lines_of(F.col(text)).alias("l"))
     top, bottom = F.slice("l", 1, EDGE_LINES), F.reverse(F.slice(F.reverse("l"), 1, EDGE_LINES))
-    edges = rows.select("doc_id", F.explode(F.concat(F.transform(top, lambda x: F.struct(F.lit("top").alias("edge"), strip(x).alias("line"))), F.transform(bottom, lambda x: F.struct(F.lit("bottom").alias("edge"), strip(x).alias("line"))))).alias("e"))
+    edges = rows.select(
+        "doc_id",
+        F.explode(F.concat(
+            F.transform(top, lambda x: F.struct(F.lit("top").alias("edge"), strip(x).alias("line"))),
+            F.transform(bottom, lambda x: F.struct(F.lit("bottom").alias("edge"), strip(x).alias("line")))
+        )).alias("e")
+    )
     counts = edges.filter(F.col("e.line") != "").groupBy("doc_id", "e.edge", "e.line").agg(F.count("*").alias("n"))
     return counts.filter(F.col("n") >= least).select("doc_id", "line").distinct()
 

@@ -30,7 +30,16 @@ def rule_classified(docs: DataFrame, text: str = "text", blank_check: bool = Tru
     found = F.col("__all") > 0
     share = lambda h: F.when(found, h.cast("double") / F.col("__all")).otherwise(F.lit(0.0))
     confidence = share(F.array_max("__hits"))
-    used = F.filter(F.array(F.lit("rule_based"), *(F.when(F.get("__hits", F.lit(i)) > 0, F.concat(F.lit(f"keyword:{k}:"), F.get("__hits", F.lit(i)).cast("string"))) for i, k in enumerate(DOCUMENT_TYPES))), lambda x: x.isNotNull())
+    used = F.filter(
+        F.array(
+            F.lit("rule_based"),
+            *(
+                F.when(F.get("__hits", F.lit(i)) > 0, F.concat(F.lit(f"keyword:{k}:"), F.get("__hits", F.lit(i)).cast("string"))) for i,
+                k in enumerate(DOCUMENT_TYPES)
+            )
+        ),
+        lambda x: x.isNotNull()
+    )
     return out.select(
         *docs.columns,
         F.when(found & (confidence >= F.element_at(least, best)), F.element_at(names, best)).otherwise("unknown").alias("document_type"),
@@ -139,7 +148,9 @@ def model_classified(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id",
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     weights = F.broadcast(model.filter("gram <> ''"))
     intercepts = model.filter("gram = ''").select(*(F.col(f"w_{k}").alias(f"b_{k}") for k in kinds))
-    counts = base.select("doc_id", F.explode(grams(F.col("text"))).alias("gram")).join(weights, "gram").groupBy("doc_id", "gram").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("idf", *(f"w_{k}" for k in kinds))))
+    counts = base.select("doc_id", F.explode(grams(F.col("text"))).alias("gram")).join(weights, "gram").groupBy("doc_id", "gram").agg(
+        F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("idf", *(f"w_{k}" for k in kinds)))
+    )
     x = (1 + F.log("n")) * F.col("idf")
     sums = counts.groupBy("doc_id").agg(F.sqrt(F.sum(x * x)).alias("norm"), *(F.sum(x * F.col(f"w_{k}")).alias(f"s_{k}") for k in kinds))
     joined = base.select("doc_id", is_blank(F.col("text")).alias("blank")).join(sums, "doc_id", "left").join(F.broadcast(intercepts))
@@ -148,6 +159,9 @@ def model_classified(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id",
     total = functools.reduce(lambda a, b: a + b, (F.exp(v - top) for v in z.values()))
     scores = joined.select("doc_id", "blank", *((F.exp(v - top) / total).alias(k) for k, v in z.items()))
     best = F.greatest(*map(F.col, kinds))
-    name = functools.reduce(lambda c, k: c.when((F.col(k) == best) & (best >= THRESHOLDS.get(k, OTHER_THRESHOLD)), k), kinds[1:], F.when((F.col(kinds[0]) == best) & (best >= THRESHOLDS.get(kinds[0], OTHER_THRESHOLD)), kinds[0])).otherwise("unknown")
+    name = functools.reduce(
+        lambda c, k: c.when((F.col(k) == best) & (best >= THRESHOLDS.get(k, OTHER_THRESHOLD)), k), kinds[1:],
+        F.when((F.col(kinds[0]) == best) & (best >= THRESHOLDS.get(kinds[0], OTHER_THRESHOLD)), kinds[0])
+    ).otherwise("unknown")
     zero = lambda c: F.when(F.col("blank"), F.lit(0.0)).otherwise(c)
     return scores.select("doc_id", F.when(F.col("blank"), "unknown").otherwise(name).alias("document_type"), zero(best).alias("confidence"), *(zero(F.col(k)).alias(f"score_{k}") for k in kinds))

@@ -25,7 +25,9 @@ def ocr_blocks(words: DataFrame) -> DataFrame:
     w = words.withColumn("text", strip(F.col("text"))).filter((F.col("conf") >= 0) & (F.col("text") != ""))
     box = G.box(F.min("left"), F.min("top"), F.max(F.col("left") + F.col("width")), F.max(F.col("top") + F.col("height")))
     blocks = w.groupBy(*PAGE, "block_num", "par_num").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda x: x["text"]), " ").alias("text"), box.alias("bbox"), (F.avg("conf") / 100.0).alias("confidence"), F.min("word_idx").alias("first"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda x: x["text"]), " "
+        ).alias("text"), box.alias("bbox"), (F.avg("conf") / 100.0).alias("confidence"), F.min("word_idx").alias("first"),
     )
     order = Window.partitionBy(*PAGE).orderBy("first")
     return blocks.select(*PAGE, (F.row_number().over(order) - 1).alias("block_idx"), "text", "bbox", F.lit("paragraph").alias("block_type"), "confidence")
@@ -50,7 +52,9 @@ def ruled_cells(drawings: DataFrame, words: DataFrame) -> DataFrame:
     at = words.select(*PAGE, ((F.col("x0") + F.col("x1")) / 2).alias("wx"), ((F.col("y0") + F.col("y1")) / 2).alias("wy"), F.struct("word_idx", "word").alias("w"))
     inside = (F.col("wx") >= F.col("x0")) & (F.col("wx") < F.col("x1")) & (F.col("wy") >= F.col("y0")) & (F.col("wy") < F.col("y1"))
     c, a = cells.alias("c"), at.alias("a")
-    joined = c.join(a, (F.col("c.doc_id") == F.col("a.doc_id")) & (F.col("c.page_num") == F.col("a.page_num")) & inside, "left").select(*(F.col(f"c.{k}") for k in (*PAGE, "row", "col", "x0", "y0", "x1", "y1")), "w")
+    joined = c.join(
+        a, (F.col("c.doc_id") == F.col("a.doc_id")) & (F.col("c.page_num") == F.col("a.page_num")) & inside, "left"
+    ).select(*(F.col(f"c.{k}") for k in (*PAGE, "row", "col", "x0", "y0", "x1", "y1")), "w")
     text = collapse(F.array_join(_texts(F.array_sort(F.collect_list("w"))), " "))
     return joined.groupBy(*PAGE, "row", "col", "x0", "y0", "x1", "y1").agg(text.alias("text")).select(*PAGE, "row", "col", "text", G.box(*(F.col(k) for k in ("x0", "y0", "x1", "y1"))).alias("bbox"))
 
@@ -70,7 +74,9 @@ def ruled_tables(drawings: DataFrame, words: DataFrame) -> DataFrame:
 
 def whitespace_tables(words: DataFrame) -> DataFrame:
     """Rows of words at about one height; those with the page's usual number of words (ties: the smaller), at least three, are a table."""
-    rows = words.withColumn("row", (F.rint(F.col("y0") / ROW_STEP) * ROW_STEP).cast("int")).groupBy(*PAGE, "row").agg(_texts(F.array_sort(F.collect_list(F.struct("x0", "word_idx", "word")))).alias("cells"))
+    rows = words.withColumn(
+        "row", (F.rint(F.col("y0") / ROW_STEP) * ROW_STEP).cast("int")
+    ).groupBy(*PAGE, "row").agg(_texts(F.array_sort(F.collect_list(F.struct("x0", "word_idx", "word")))).alias("cells"))
     page = Window.partitionBy(*PAGE)
     rows = rows.withColumn("buckets", F.count("*").over(page)).filter(F.size("cells") >= 2).withColumn("n", F.size("cells")).withColumn("wide", F.count("*").over(page))
     usual = rows.groupBy(*PAGE, "n").agg(F.count("*").alias("k"))
@@ -89,7 +95,10 @@ def otsu_thresholds(pixels: DataFrame, image: str = "image_id", value: str = "va
     """image, threshold: the grey value below which (inclusive) the between-class variance is largest; 128 for one-coloured images."""
     hist = pixels.groupBy(F.col(image).alias("image"), F.col(value).cast("int").alias("v")).agg(F.count("*").alias("n"))
     upto, all_ = Window.partitionBy("image").orderBy("v"), Window.partitionBy("image")
-    h = hist.select("image", "v", F.sum("n").over(upto).alias("wb"), F.sum(F.col("n") * F.col("v")).over(upto).alias("sb"), F.sum("n").over(all_).alias("w"), F.sum(F.col("n") * F.col("v")).over(all_).alias("s"))
+    h = hist.select(
+        "image", "v", F.sum("n").over(upto).alias("wb"), F.sum(F.col("n") * F.col("v")).over(upto).alias("sb"),
+        F.sum("n").over(all_).alias("w"), F.sum(F.col("n") * F.col("v")).over(all_).alias("s")
+    )
     wf = F.col("w") - F.col("wb")
     var = F.when(wf > 0, F.col("wb").cast("double") * wf * F.pow(F.col("sb") / F.col("wb") - (F.col("s") - F.col("sb")) / wf, F.lit(2.0)))
     best = h.withColumn("var", var).groupBy("image").agg(F.max_by("v", F.when(F.col("var") > 0, F.struct("var", -F.col("v")))).alias("t"))

@@ -69,7 +69,10 @@ def texts_of_blocks(blocks: DataFrame) -> DataFrame:
     """
     page = F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("block_idx", "text"))), lambda b: b["text"].rlike(r"\S")), lambda b: b["text"]), "\n")
     pages = blocks.groupBy("doc_id", "page_num").agg(page.alias("t"))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "t"))), lambda p: p["t"]), "\n\n").alias("text"), F.count("*").cast("int").alias("page_count"))
+    return pages.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "t"))), lambda p: p["t"]), "\n\n").alias("text"),
+        F.count("*").cast("int").alias("page_count")
+    )
 
 
 def ordered_blocks(blocks: DataFrame, pages: DataFrame, options: Options = Options()) -> DataFrame:
@@ -204,10 +207,23 @@ def as_markdown(result: DataFrame) -> DataFrame:
             "\n", F.concat(F.lit("# Document: "), name), F.lit(""),
             F.concat(F.lit("**Document ID:** `"), F.col("doc_id").cast("string"), F.lit("`  ")), F.concat(F.lit("**File type:** "), F.coalesce("file_type", F.lit("")), F.lit("  ")),
             F.concat(F.lit("**Pages:** "), F.coalesce("page_count", F.lit(0)).cast("string"), F.lit("  ")), F.lit("**Processing time:** 0.0 ms"), F.lit(""),
-            F.when(F.col("classification").isNotNull(), section("Classification", F.concat(F.lit("**Type:** "), F.col("classification.document_type"), F.lit("  ")), F.concat(F.lit("**Confidence:** "), percent(F.col("classification.confidence"), 1)), F.lit(""), F.lit("| Document Type | Score |"), F.lit("|---|---|"), F.array_join(scores, "\n"))),
+            F.when(
+                F.col("classification").isNotNull(),
+                section(
+                    "Classification", F.concat(F.lit("**Type:** "), F.col("classification.document_type"), F.lit("  ")),
+                    F.concat(F.lit("**Confidence:** "), percent(F.col("classification.confidence"), 1)), F.lit(""),
+                    F.lit("| Document Type | Score |"), F.lit("|---|---|"), F.array_join(scores, "\n")
+                )
+            ),
             F.when(F.col("summary") != "", section("Summary", F.col("summary"))),
             F.when(F.size("keywords") > 0, section("Keywords", F.array_join(F.transform("keywords", lambda k: F.concat(F.lit("`"), k, F.lit("`"))), ", "))),
-            F.when(F.size("entities") > 0, section("Entities", F.lit("| Type | Text | Normalized | Role | Confidence |"), F.lit("|---|---|---|---|---|"), F.array_join(F.transform("entities", entity), "\n"))),
+            F.when(
+                F.size("entities") > 0,
+                section(
+                    "Entities", F.lit("| Type | Text | Normalized | Role | Confidence |"), F.lit("|---|---|---|---|---|"),
+                    F.array_join(F.transform("entities", entity), "\n")
+                )
+            ),
             F.when(F.size("tables") > 0, F.concat_ws("\n", F.lit("## Tables"), F.array_join(_numbered(F.col("tables"), table), "\n"))),
             F.when(F.size(F.map_keys("metadata")) > 0, section("Metadata", F.array_join(F.transform(known, lambda m: F.concat(F.lit("- **"), m["key"], F.lit(":** "), m["value"])), "\n"))),
         ).alias("markdown"),

@@ -30,7 +30,10 @@ def structured_fields(docs: DataFrame, entities: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     defined = docs.select("doc_id", "document_type").join(F.broadcast(field_table(spark)), "document_type")
     e = entities.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "ord", "entity_type", F.coalesce("role", F.lit("")).alias("role"), F.when(F.coalesce("normalized", F.lit("")) != "", F.col("normalized")).otherwise(F.col("text")).alias("value")))).alias("e")
+        F.array_sort(F.collect_list(F.struct(
+            "start", "ord", "entity_type", F.coalesce("role", F.lit("")).alias("role"),
+            F.when(F.coalesce("normalized", F.lit("")) != "", F.col("normalized")).otherwise(F.col("text")).alias("value")
+        ))).alias("e")
     )
     rows = defined.join(e, "doc_id", "left").withColumn("typed", F.filter(F.coalesce("e", F.array().cast(e.schema["e"].dataType)), lambda x: F.array_contains(F.col("entity_types"), x["entity_type"])))
     rows = rows.withColumn("matched", F.filter("typed", lambda x: F.array_contains(F.col("roles"), x["role"])))

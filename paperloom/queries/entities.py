@@ -134,7 +134,10 @@ def entities_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structured_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = render.rendered(spark, sf_dir)
     kinds = classify.rule_classified(docs).select("doc_id", "document_type")
-    return fields.structured_fields(kinds, entities.entity_rows(docs)).select("doc_id", "field_name", "field_ord", F.size("field_values").cast("bigint").alias("n_values"), F.array_join("field_values", " | ").alias("field_values"))
+    return fields.structured_fields(kinds, entities.entity_rows(docs)).select(
+        "doc_id", "field_name", "field_ord", F.size("field_values").cast("bigint").alias("n_values"),
+        F.array_join("field_values", " | ").alias("field_values")
+    )
 
 
 def _fields_sql() -> str:
@@ -258,7 +261,11 @@ def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = F.element_at(F.array(*map(F.lit, (".pdf", ".PNG", ".jpeg", ".txt", ""))), (F.col("page_id") % 5 + 1).cast("int"))
     p = F.concat(F.regexp_replace("url", r"[?#].*$", ""), suffix)
     rows = table(spark, sf_dir, "pages").select("page_id", p.alias("path"))
-    return rows.select("page_id", files.file_type(F.col("path")).alias("file_type"), files.mime_type(F.col("path")).alias("mime_type"), files.is_supported(F.col("path")).alias("supported"), files.document_id(F.col("path")).alias("document_id"), files.clean_name(F.col("path")).alias("name"))
+    return rows.select(
+        "page_id", files.file_type(F.col("path")).alias("file_type"), files.mime_type(F.col("path")).alias("mime_type"),
+        files.is_supported(F.col("path")).alias("supported"), files.document_id(F.col("path")).alias("document_id"),
+        files.clean_name(F.col("path")).alias("name")
+    )
 
 
 PAGES_SQL = """

@@ -22,7 +22,10 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     y0 = F.when(two, F.floor(k / 2) * 62).otherwise(k * 31) + 4
     size = F.when(k == 0, 18).when(k % 9 == 4, 13).when(k % 11 == 7, 0).otherwise(10 + F.col("doc_id") % 2)
     box = G.box(x0, y0, x0 + F.least(n * 5, F.lit(240)), y0 + 12)
-    return lines.select("doc_id", (F.floor(F.col("i") / PER_PAGE) + 1).cast("int").alias("page_num"), k.cast("int").alias("block_idx"), "text", F.when(k % 13 != 11, box).alias("bbox"), size.cast("double").alias("font_size"), F.lit("paragraph").alias("block_type"))
+    return lines.select(
+        "doc_id", (F.floor(F.col("i") / PER_PAGE) + 1).cast("int").alias("page_num"), k.cast("int").alias("block_idx"), "text",
+        F.when(k % 13 != 11, box).alias("bbox"), size.cast("double").alias("font_size"), F.lit("paragraph").alias("block_type")
+    )
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +191,10 @@ w AS (SELECT doc_id, page_num, i, word, 40 + (i % 3) * 150 AS x0, 50 + (i // 3)
 
 def whitespace_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables.whitespace_tables(words(spark, sf_dir))
-    return t.select("doc_id", "page_num", F.size("rows").cast("bigint").alias("n_rows"), F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/").alias("cells"), "method")
+    return t.select(
+        "doc_id", "page_num", F.size("rows").cast("bigint").alias("n_rows"), F.array_join("headers", "|").alias("headers"),
+        F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/").alias("cells"), "method"
+    )
 
 
 def _whitespace(source: str) -> str:
@@ -227,15 +233,24 @@ def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines around every third column and every second row of pages whose number is even; the others have whitespace tables."""
     w = words(spark, sf_dir)
     p = w.filter("page_num % 2 = 0").groupBy("doc_id", "page_num").agg(F.max("y1").alias("low"))
-    h = p.select("doc_id", "page_num", F.explode(F.sequence(F.lit(45), F.col("low").cast("int") + 30, F.lit(30))).alias("y")).select("doc_id", "page_num", F.lit(30.0).alias("x1"), F.col("y").cast("double").alias("y1"), F.lit(480.0).alias("x2"), F.col("y").cast("double").alias("y2"))
-    v = p.select("doc_id", "page_num", F.explode(F.array(*map(F.lit, (30.0, 180.0, 330.0, 480.0)))).alias("x"), "low").select("doc_id", "page_num", F.col("x").alias("x1"), F.lit(40.0).alias("y1"), F.col("x").alias("x2"), (F.col("low") + 20).alias("y2"))
+    h = p.select("doc_id", "page_num", F.explode(F.sequence(F.lit(45), F.col("low").cast("int") + 30, F.lit(30))).alias("y")).select(
+        "doc_id", "page_num", F.lit(30.0).alias("x1"), F.col("y").cast("double").alias("y1"), F.lit(480.0).alias("x2"),
+        F.col("y").cast("double").alias("y2")
+    )
+    v = p.select("doc_id", "page_num", F.explode(F.array(*map(F.lit, (30.0, 180.0, 330.0, 480.0)))).alias("x"), "low").select(
+        "doc_id", "page_num", F.col("x").alias("x1"), F.lit(40.0).alias("y1"), F.col("x").alias("x2"), (F.col("low") + 20).alias("y2")
+    )
     t = tables.page_tables(h.unionByName(v), w)
     return t.select("doc_id", "page_num", "method", F.size("rows").cast("bigint").alias("n_rows"), F.array_join(F.element_at("rows", 1), "|").alias("first_row"))
 
 
 def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("word_idx")
-    w = words(spark, sf_dir).select("doc_id", "page_num", "word_idx", F.floor(i / 20).cast("int").alias("block_num"), (F.floor(i / 7) % 2).cast("int").alias("par_num"), F.col("x0").cast("int").alias("left"), F.col("y0").cast("int").alias("top"), F.lit(40).alias("width"), F.lit(10).alias("height"), F.when(i % 17 == 5, -1).otherwise(60 + i % 40).cast("int").alias("conf"), F.col("word").alias("text"))
+    w = words(spark, sf_dir).select(
+        "doc_id", "page_num", "word_idx", F.floor(i / 20).cast("int").alias("block_num"), (F.floor(i / 7) % 2).cast("int").alias("par_num"),
+        F.col("x0").cast("int").alias("left"), F.col("y0").cast("int").alias("top"), F.lit(40).alias("width"), F.lit(10).alias("height"),
+        F.when(i % 17 == 5, -1).otherwise(60 + i % 40).cast("int").alias("conf"), F.col("word").alias("text")
+    )
     b = tables.ocr_blocks(w)
     return b.select("doc_id", "page_num", "block_idx", "text", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1", F.round("confidence", 6).alias("confidence"))
 

@@ -137,7 +137,10 @@ def plain_sentences_sql(x: str) -> str:
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", T.collapse(t).alias("collapsed"), T.truncate(t, 20).alias("truncated"), T.clean_block(t).alias("block"), T.round2(T.average_token_length(t)).alias("avg_token_length"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", T.collapse(t).alias("collapsed"), T.truncate(t, 20).alias("truncated"), T.clean_block(t).alias("block"),
+        T.round2(T.average_token_length(t)).alias("avg_token_length")
+    )
 
 
 CLEAN_TEXT_SQL = f"""
@@ -172,7 +175,11 @@ SELECT doc_id, {sql_tidy('t')} AS cleaned FROM a
 def rule_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = render.rendered(spark, sf_dir).unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "text"))
     out = classify.rule_classified(docs)
-    return out.select("doc_id", "document_type", F.round("confidence", 6).alias("confidence"), *(F.round(F.element_at("all_scores", k), 6).alias(f"score_{k}") for k in DOCUMENT_TYPES), F.array_join("features_used", " ").alias("features_used"))
+    return out.select(
+        "doc_id", "document_type", F.round("confidence", 6).alias("confidence"),
+        *(F.round(F.element_at("all_scores", k), 6).alias(f"score_{k}") for k in DOCUMENT_TYPES),
+        F.array_join("features_used", " ").alias("features_used")
+    )
 
 
 def _hits(k: str) -> str:
@@ -203,7 +210,13 @@ TYPE_COUNTS_SQL = f"SELECT document_type, count(*) AS n FROM ({RULE_TYPES_SQL})
 
 def keyword_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return render.rendered(spark, sf_dir).select("doc_id", *(F.round(c, 6).alias(n) for c, n in zip(classify.keyword_features(t), (x for k in DOCUMENT_TYPES for x in (f"keyword_{k}_hits", f"keyword_{k}_density")))))
+    return render.rendered(spark, sf_dir).select(
+        "doc_id",
+        *(
+            F.round(c, 6).alias(n) for c,
+            n in zip(classify.keyword_features(t), (x for k in DOCUMENT_TYPES for x in (f"keyword_{k}_hits", f"keyword_{k}_density")))
+        )
+    )
 
 
 KEYWORD_FEATURES_SQL = f"""

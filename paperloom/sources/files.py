@@ -94,7 +94,10 @@ def read_files(spark: SparkSession, folder: str, recursive: bool = False, patter
 def capabilities() -> dict[str, bool]:
     """Which decoders and readers this installation has."""
     has = lambda name: importlib.util.find_spec(name) is not None
-    return {"pdf": has("fitz"), "images": has("PIL"), "ocr": has("pytesseract"), "opencv": has("cv2"), "yaml": has("yaml"), "entities": True, "classification": True, "summaries": True, "storage": True}
+    return {
+        "pdf": has("fitz"), "images": has("PIL"), "ocr": has("pytesseract"), "opencv": has("cv2"), "yaml": has("yaml"), "entities": True,
+        "classification": True, "summaries": True, "storage": True
+    }
 
 
 #: What a PDF file says about itself: our names and its.

@@ -56,7 +56,10 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
     k = F.col("n_nationkey")
     out = F.lit(_LETTER)
-    for mark, value in (("{k}", F.concat(F.lit("2024"), k.cast("string"))), ("{n}", F.initcap("n_name")), ("{d}", (k % 28 + 1).cast("string")), ("{h}", (k + 100).cast("string")), ("{q}", (k + 1000).cast("string"))):
+    for mark, value in (
+        ("{k}", F.concat(F.lit("2024"), k.cast("string"))), ("{n}", F.initcap("n_name")), ("{d}", (k % 28 + 1).cast("string")),
+        ("{h}", (k + 100).cast("string")), ("{q}", (k + 1000).cast("string"))
+    ):
         out = F.replace(out, F.lit(mark), value)
     return n.select(k.cast("bigint").alias("doc_id"), out.alias("text"))
 

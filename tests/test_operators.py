@@ -55,7 +55,9 @@ def test_cleaning(spark):
 
 
 def boxes(spark, *rows):
-    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "idx int, x0 double, y0 double, x1 double, y1 double").select("idx", G.box(*(F.col(k) for k in ("x0", "y0", "x1", "y1"))).alias("bbox"))
+    return spark.createDataFrame(
+        [(i, *map(float, r)) for i, r in enumerate(rows)], "idx int, x0 double, y0 double, x1 double, y1 double"
+    ).select("idx", G.box(*(F.col(k) for k in ("x0", "y0", "x1", "y1"))).alias("bbox"))
 
 
 def test_boxes(spark):
@@ -63,7 +65,10 @@ def test_boxes(spark):
     e = b.agg(G.envelope(F.col("bbox")).alias("e")).first().e
     assert tuple(e) == (-5, -5, 20, 20)
     pair = b.filter("idx = 0").select(F.col("bbox").alias("a")).crossJoin(b.filter("idx = 1").select(F.col("bbox").alias("b")))
-    r = pair.select(G.overlap(F.col("a"), F.col("b")).alias("o"), G.iou(F.col("a"), F.col("b")).alias("i"), G.relative_position(F.col("a"), F.col("b")).alias("p"), G.aspect_ratio(F.col("a")).alias("q")).first()
+    r = pair.select(
+        G.overlap(F.col("a"), F.col("b")).alias("o"), G.iou(F.col("a"), F.col("b")).alias("i"),
+        G.relative_position(F.col("a"), F.col("b")).alias("p"), G.aspect_ratio(F.col("a")).alias("q")
+    ).first()
     assert (r.o, round(r.i, 6), r.p, r.q) == (25.0, round(25 / 300, 6), "overlapping", 1.0)
     kept = boxes(spark, (0, 0, 10, 10), (0, 0, 9, 10), (50, 50, 60, 60)).agg(F.collect_list(F.struct("idx", "bbox")).alias("b")).select(G.non_maximum_suppression(F.col("b"), 0.5).alias("k")).first().k
     assert [k.idx for k in kept] == [0, 2]
@@ -83,7 +88,10 @@ def test_block_roles(spark):
 def page(spark, places, size=11.0):
     rows = [(1, 1, i, f"block {i}", float(x0), float(y0), size) for i, (x0, y0) in enumerate(places)]
     df = spark.createDataFrame(rows, "doc_id long, page_num int, block_idx int, text string, x0 double, y0 double, font_size double")
-    blocks = df.select("doc_id", "page_num", "block_idx", "text", G.box(F.col("x0"), F.col("y0"), F.col("x0") + 100, F.col("y0") + 10).alias("bbox"), "font_size", F.lit("paragraph").alias("block_type"))
+    blocks = df.select(
+        "doc_id", "page_num", "block_idx", "text", G.box(F.col("x0"), F.col("y0"), F.col("x0") + 100, F.col("y0") + 10).alias("bbox"),
+        "font_size", F.lit("paragraph").alias("block_type")
+    )
     return blocks, spark.createDataFrame([(1, 1, 612.0, 792.0)], "doc_id long, page_num int, width double, height double")
 
 
@@ -107,14 +115,20 @@ def test_clusters_follow_the_order(spark):
 
 
 def test_ocr_words_become_blocks(spark):
-    rows = [(1, 1, 0, 1, 1, 10, 20, 50, 15, 90, "Hello"), (1, 1, 1, 1, 1, 65, 20, 50, 15, 85, "World"), (1, 1, 2, 1, 1, 120, 20, 30, 15, 88, "Test"), (1, 1, 3, 2, 1, 0, 0, 1, 1, -1, "x"), (1, 1, 4, 2, 1, 0, 0, 1, 1, 90, " ")]
+    rows = [
+        (1, 1, 0, 1, 1, 10, 20, 50, 15, 90, "Hello"), (1, 1, 1, 1, 1, 65, 20, 50, 15, 85, "World"),
+        (1, 1, 2, 1, 1, 120, 20, 30, 15, 88, "Test"), (1, 1, 3, 2, 1, 0, 0, 1, 1, -1, "x"), (1, 1, 4, 2, 1, 0, 0, 1, 1, 90, " ")
+    ]
     df = spark.createDataFrame(rows, "doc_id int, page_num int, word_idx int, block_num int, par_num int, left int, top int, width int, height int, conf int, text string")
     got = tables.ocr_blocks(df).collect()
     assert len(got) == 1 and got[0].text == "Hello World Test" and tuple(got[0].bbox) == (10, 20, 150, 35) and abs(got[0].confidence - 263 / 300) < 1e-9
 
 
 def words(spark, rows):
-    return spark.createDataFrame([(1, 1, i, w, float(x), float(y), float(x + 20), float(y + 8)) for i, (w, x, y) in enumerate(rows)], "doc_id int, page_num int, word_idx int, word string, x0 double, y0 double, x1 double, y1 double")
+    return spark.createDataFrame(
+        [(1, 1, i, w, float(x), float(y), float(x + 20), float(y + 8)) for i, (w, x, y) in enumerate(rows)],
+        "doc_id int, page_num int, word_idx int, word string, x0 double, y0 double, x1 double, y1 double"
+    )
 
 
 def test_tables(spark):
@@ -151,10 +165,18 @@ def found(spark, text, **how):
 
 
 ENTITY_CASES = [
-    ("Contact test@Example.com today", "email", "test@Example.com", "test@example.com"), ("on 2024-01-15.", "date", "2024-01-15", "2024-01-15"), ("on 1/15/75.", "date", "1/15/75", "1975-01-15"), ("on 15/01/2024.", "date", "15/01/2024", "2024-01-15"),
-    ("on January 15, 2024.", "date", "January 15, 2024", "2024-01-15"), ("on Jan. 15, 2024.", "date", "Jan. 15, 2024", None), ("on 5 march 2024", "date", "5 march 2024", "2024-03-05"), ("on 2024-02-31", "date", "2024-02-31", None), ("pay $1,234.56 now", "amount", "$1,234.56", "1234.56"),
-    ("pay EUR 12 now", "amount", "EUR 12", "12"), ("call (555) 123-4567.", "phone", "(555) 123-4567", "5551234567"), ("see https://x.org/a?b now", "url", "https://x.org/a?b", None), ("at 12 Main Street, Town", "address", "12 Main Street, Town", None),
-    ("Dr. Jane Miller spoke", "person", "Dr. Jane Miller", "Dr. Jane Miller"), ("from Acme Widgets LLC today", "organization", "Acme Widgets LLC", None), ("PO: ab-1234", "reference_number", "ab-1234", "AB-1234"),
+    (
+        "Contact test@Example.com today", "email", "test@Example.com", "test@example.com"
+    ), ("on 2024-01-15.", "date", "2024-01-15", "2024-01-15"), ("on 1/15/75.", "date", "1/15/75", "1975-01-15"), ("on 15/01/2024.", "date", "15/01/2024", "2024-01-15"),
+    (
+        "on January 15, 2024.", "date", "January 15, 2024", "2024-01-15"
+    ), ("on Jan. 15, 2024.", "date", "Jan. 15, 2024", None), ("on 5 march 2024", "date", "5 march 2024", "2024-03-05"), ("on 2024-02-31", "date", "2024-02-31", None), ("pay $1,234.56 now", "amount", "$1,234.56", "1234.56"),
+    ("pay EUR 12 now", "amount", "EUR 12", "12"), ("call (555) 123-4567.", "phone", "(555) 123-4567", "5551234567"), ("see https://x.org/a?b now", "url", "https://x.org/a?b", None), (
+        "at 12 Main Street, Town", "address", "12 Main Street, Town", None
+    ),
+    (
+        "Dr. Jane Miller spoke", "person", "Dr. Jane Miller", "Dr. Jane Miller"
+    ), ("from Acme Widgets LLC today", "organization", "Acme Widgets LLC", None), ("PO: ab-1234", "reference_number", "ab-1234", "AB-1234"),
 ]
 
 
@@ -290,7 +312,10 @@ def test_plan_and_formats(spark):
     assert csv[2] == "=== ENTITIES ===\r\ntype,text,normalized,confidence,start,end,role\r\n" and "0.90" in csv[1]
     md = {r.doc_id: r.markdown for r in documents.formatted(out, "markdown").collect()}
     assert "**Type:** invoice" in md[1] and "## Keywords" not in md[2]
-    assert list(made[2]) == ["document_id", "source_path", "file_type", "page_count", "classification", "structured_fields", "entities", "tables", "summary", "keywords", "processing_time_ms", "errors"]
+    assert list(made[2]) == [
+        "document_id", "source_path", "file_type", "page_count", "classification", "structured_fields", "entities", "tables", "summary",
+        "keywords", "processing_time_ms", "errors"
+    ]
     assert made[2]["tables"] == [] and made[1]["entities"][0]["metadata"].keys() <= {"role"} and made[2]["source_path"] is None
     with pytest.raises(ValueError):
         documents.formatted(out, "xml")
@@ -315,8 +340,14 @@ def test_words_of_pages(spark, tmp_path):
 
 
 def test_tables_and_metadata_in_formats(spark):
-    docs = spark.createDataFrame([("d", "", "/x/a.pdf", "pdf", 2, {"title": "T", "author": ""})], "doc_id string, text string, source_path string, file_type string, page_count int, metadata map<string,string>")
-    tables = spark.createDataFrame([("d", 2, ["Item", "Qty"], [["a, b", "1"], ["c", None]]), ("d", 1, None, [['say "x"']])], "doc_id string, page_num int, headers array<string>, rows array<array<string>>")
+    docs = spark.createDataFrame(
+        [("d", "", "/x/a.pdf", "pdf", 2, {"title": "T", "author": ""})],
+        "doc_id string, text string, source_path string, file_type string, page_count int, metadata map<string,string>"
+    )
+    tables = spark.createDataFrame(
+        [("d", 2, ["Item", "Qty"], [["a, b", "1"], ["c", None]]), ("d", 1, None, [['say "x"']])],
+        "doc_id string, page_num int, headers array<string>, rows array<array<string>>"
+    )
     out = documents.run(docs, documents.Options(run_linking=False), tables=tables)
     import json
 
@@ -428,7 +459,10 @@ def test_store(spark, tmp_path):
     store = DocumentStore(spark, f"file://{tmp_path}/store")
     assert store.count() == 0
     docs = spark.createDataFrame([("a", "x" * 100_005, datetime.datetime(2024, 1, 1)), ("b", "y", datetime.datetime(2024, 1, 2))], "document_id string, text string, created_at timestamp")
-    ents = spark.createDataFrame([("a", 0, "t", "email", 0, 1, 0.5, "t", None)], "document_id string, ord int, text string, entity_type string, start int, end int, confidence double, normalized string, role string")
+    ents = spark.createDataFrame(
+        [("a", 0, "t", "email", 0, 1, 0.5, "t", None)],
+        "document_id string, ord int, text string, entity_type string, start int, end int, confidence double, normalized string, role string"
+    )
     blocks = spark.createDataFrame([("a", 1, 0, "t", "p"), ("a", 1, 4, "u", "p"), ("a", 2, 1, "v", "p")], "document_id string, page_num int, block_idx int, text string, block_type string")
     store.save(docs, ents, chunk_rows(blocks))
     assert [r.document_id for r in store.page().collect()] == ["b", "a"] and len(store.get("a").first().text) == 100_000
