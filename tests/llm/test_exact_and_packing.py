@@ -32,7 +32,10 @@ def brute_groups(rows):
     return out
 
 
-ROWS = [(1, "a  b"), (2, "a b"), (3, "a\tb"), (4, None), (5, ""), (6, " "), (7, "\x0b\x0c"), (8, "a b"), (8, "a b"), (None, "a b"), (None, "alone"), (9, "é" * 50_000), (10, "é" * 50_000), (11, "a\xa0b"), (12, "A b")]
+ROWS = [
+    (1, "a  b"), (2, "a b"), (3, "a\tb"), (4, None), (5, ""), (6, " "), (7, "\x0b\x0c"), (8, "a b"), (8, "a b"), (None, "a b"),
+    (None, "alone"), (9, "é" * 50_000), (10, "é" * 50_000), (11, "a\xa0b"), (12, "A b")
+]
 
 
 @pytest.mark.parametrize("hot_rows", [2, 2000])
@@ -93,7 +96,9 @@ def test_exact_complements_fill_sequences():
 
 
 def test_packing_round_trip(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 5000), (-3, "word " * 5000), (-4, "<|endoftext|> É\x1cx")], "doc_id long, text string"))
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(
+        [(-1, None), (-2, ""), (-3, "word " * 5000), (-3, "word " * 5000), (-4, "<|endoftext|> É\x1cx")], "doc_id long, text string"
+    ))
     rows = packing.pack_documents(docs, WORDS, 512).collect()
     tokenizer = Tokenizer.from_file(WORDS)
     tokenizer.encode_special_tokens = True

@@ -243,7 +243,13 @@ def test_toxicity_on_held_out_rows(spark):
     model = toxicity.fit(docs, labels)
     scored = toxicity.score(docs, model).join(labels, "doc_id").withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).filter("held").collect()
     assert len(scored) > 200 and sum((r.score >= 0.7) == (r.toxic == 1) for r in scored) >= 0.98 * len(scored)
-    extra = spark.createDataFrame([(1, "river 1d1ot stone"), (2, "hand s t u p i d thing"), (3, "motor worthlessss winter"), (4, "river stone hand"), (5, None), (6, ""), (7, "m0r0n the")], "doc_id long, text string")
+    extra = spark.createDataFrame(
+        [
+            (1, "river 1d1ot stone"), (2, "hand s t u p i d thing"), (3, "motor worthlessss winter"), (4, "river stone hand"), (5, None),
+            (6, ""), (7, "m0r0n the")
+        ],
+        "doc_id long, text string"
+    )
     got = {r.doc_id: r.score for r in toxicity.score(extra, model).collect()}
     assert all(got[i] >= 0.7 for i in (1, 2, 3, 7)) and all(got[i] < 0.7 for i in (4, 5, 6))
     kept = toxicity.drop_toxic(docs, labels)
@@ -290,6 +296,13 @@ def test_long_spaced_and_repeated_words_are_restored(spark):
     assert got == [False, True, True, True, True, False, False, True]
 
 
+def test_spaced_phrases_are_never_passed_over():
+    rnd = random.Random(9)
+    for _ in range(20_000):
+        text = "".join(rnd.choice("ab1é  .-_*\n") for _ in range(rnd.randint(0, 30)))
+        assert toxicity._SPACED_INSIDE.search(text) or not toxicity._SPACED.search(text), text
+
+
 def best_reading(word, costs):
     """All readings of a word, one after another."""
     lattice, best = toxicity.readings(word), None

@@ -59,7 +59,10 @@ def test_cards_stay_valid_and_linked(spark):
 
 
 def test_every_kind_keeps_its_format(spark):
-    texts = ["mail Jo.Doe99@mail3.example.com now", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "ip 169.122.221.182.", "on 2024-01-15", "on 15.01.2024", "on 01/15/2024", "ssn 123-45-6789", "+1 (017) 555-7713", "tel 555-123-4567"]
+    texts = [
+        "mail Jo.Doe99@mail3.example.com now", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "ip 169.122.221.182.",
+        "on 2024-01-15", "on 15.01.2024", "on 01/15/2024", "ssn 123-45-6789", "+1 (017) 555-7713", "tel 555-123-4567"
+    ]
     got = only(spark, *texts)
     for before, after in zip(texts, got):
         assert after != before and len(after) == len(before) or "ip" in before or "mail" in before
@@ -109,7 +112,10 @@ def test_dates_in_all_forms(spark):
     day = datetime.date(2020, 3, 25)
     forms = ["2020-03-25", "2020-3-25", "25.03.2020", "25.3.2020", "03/25/2020", "25/03/2020", "3/25/2020", "25/3/2020"]
     got = only(spark, *forms)
-    read = [datetime.date(*map(int, x.split("-"))) for x in got[:2]] + [datetime.datetime.strptime(x, f).date() for x, f in zip(got[2:], ("%d.%m.%Y", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y", "%m/%d/%Y", "%d/%m/%Y"))]
+    read = [datetime.date(*map(int, x.split("-"))) for x in got[:2]] + [
+        datetime.datetime.strptime(x, f).date() for x,
+        f in zip(got[2:], ("%d.%m.%Y", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y", "%m/%d/%Y", "%d/%m/%Y"))
+    ]
     assert len(set(read)) == 1 and read[0] != day
     days = [(datetime.date(1850, 1, 1) + datetime.timedelta(7 * i)).isoformat() for i in range(2000)]
     assert len(set(only(spark, *days))) == 2000
@@ -119,7 +125,10 @@ def test_dates_in_all_forms(spark):
 def test_report_matches_a_plain_version(spark):
     """Which matches are found, by another engine's expressions, and that the rest of the text stays."""
     rnd = random.Random(3)
-    items = ["4532015112830366", "4532 0151 1283 0366", "4532015112830367", "a.b@c-d.org", "10.0.0.7", "300.1.1.1", "2024-02-30", "2024-02-29", "123-45-6789", "000-45-6789", "+49 301 234 5678", "GB82WEST12345698765432", "GB83WEST12345698765432"]
+    items = [
+        "4532015112830366", "4532 0151 1283 0366", "4532015112830367", "a.b@c-d.org", "10.0.0.7", "300.1.1.1", "2024-02-30", "2024-02-29",
+        "123-45-6789", "000-45-6789", "+49 301 234 5678", "GB82WEST12345698765432", "GB83WEST12345698765432"
+    ]
     valid = {"4532015112830366", "4532 0151 1283 0366", "a.b@c-d.org", "10.0.0.7", "2024-02-29", "123-45-6789", "+49 301 234 5678", "GB82WEST12345698765432"}
     texts = [[rnd.choice(["plain", "words", *items]) for _ in range(12)] for _ in range(60)]
     df = spark.createDataFrame([(i, " , ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -174,7 +183,12 @@ LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
 OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
 SOFTWARE.
 """
-TEXTS = [MIT, "Some text.\nLicensed under the Apache License, Version 2.0.", "x. Released under the MIT License. Licensed under CC BY-NC 4.0. Released under the MIT License.", None, "", "the licence of nobody", "All rights reserved; no license is granted. See the GNU General Public License for more details.", "a | license | b", "long " * 30_000 + ". This work is licensed under the GNU General Public License, version 3."]
+TEXTS = [
+    MIT, "Some text.\nLicensed under the Apache License, Version 2.0.",
+    "x. Released under the MIT License. Licensed under CC BY-NC 4.0. Released under the MIT License.", None, "", "the licence of nobody",
+    "All rights reserved; no license is granted. See the GNU General Public License for more details.", "a | license | b",
+    "long " * 30_000 + ". This work is licensed under the GNU General Public License, version 3."
+]
 
 
 def test_licences(spark):

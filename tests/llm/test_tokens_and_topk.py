@@ -56,7 +56,10 @@ def brute(rows, modulo, k):
 def test_top_k_matches_brute_force(spark):
     rnd = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.round(rnd.normal(size=6), 1)]) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, []), (350, [0.0] * 6), (305, [1.0, 2.0]), (306, rows[0][1]), (None, [1.0] * 6)]
+    rows += [
+        (300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, []),
+        (350, [0.0] * 6), (305, [1.0, 2.0]), (306, rows[0][1]), (None, [1.0] * 6)
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     v = df.select("vec_id", topk.floor_weights(F.col("embedding")).alias("weights"))
     for block in (64, 16_384):
