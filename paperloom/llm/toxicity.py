@@ -1,22 +1,24 @@
 """Toxicity by noisy-channel deobfuscation.
 
-1. A character language model (trigrams of letters, word ends as a letter of their own) is counted over all documents.
-2. Words written with digits or signs for letters, with letters repeated three times or more, or spaced out letter by letter
-   become lattices: every character is read as itself, as the letters it is used for, or as nothing. Viterbi decoding
-   finds the reading of least cost under the channel's costs and the language model. Words of digits or signs that still have
-   more than LONGEST_WORD characters with runs cut to three are codes and are not decoded; spaced letters are, at any length.
+1. A character language model (trigrams of letters, word ends as a letter of their own) is counted over all documents. Its letters
+   are those of Latin-1; letters of other scripts count as word ends.
+2. Words written with digits, signs or look-alike letters of other scripts for letters, with letters repeated three times or more,
+   or spaced out letter by letter become lattices: every character is read as itself, as the letters it is used for, or as
+   nothing. Viterbi decoding finds the reading of least cost under the channel's costs and the language model. It takes time in
+   proportion to a word's length, and words of any length are decoded.
 3. A document's features are the words, and beginnings of words, of its text and of its restored words, and beginnings that
    two or three different words share. Those that labelled documents tell apart (log-likelihood ratio) get weights by
    logistic regression. A word, or a beginning of five letters or more, that only toxic documents have, and many of them, is enough
-   alone: the score is at least its share of toxic documents under a cautious prior.
+   alone, whatever the regression says: the score is at least its share of toxic documents under a cautious prior.
 
 The classifier is fitted on at most ``max_training_rows`` labelled documents (those whose ids have the smallest
 hashes), a bound that is a parameter; language model and scores cover every document and its whole text. Labels are read only from
 rows whose crc32(id as text) mod 3 isn't 1.
 
-Edge cases: null and empty texts have no features and the score of the bias alone; a label that is null, or whose document
-is missing, isn't used; without both kinds of labels every score is the share of toxic labels (0 without any); repeated
-rows are scored each; an empty table gives an empty result; of clashing columns only the named ones are read.
+Edge cases: null and empty texts have no features and the score of the bias alone; very long texts are read whole; a label that
+is null, or whose document is missing, isn't used; of several labels of one id the larger counts; without both kinds of labels every
+score is the share of toxic labels (0 without any); ties between readings go to the first in alphabetical order; repeated rows are
+scored each; an empty table gives an empty result; of clashing columns only the named ones are read, and all are kept.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from __future__ import annotations
 import math
 import os.path
 import re
+import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -34,25 +38,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.shipping import ship_package, written
+from paperloom.shipping import ship_package, then_released, written
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 SIZE = len(LETTERS) + 1
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 #: What signs are used for letters, and its cost; a sign can also mean nothing.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
-LEET_COST, UNUSED_COST, DROP_COST, REPEAT_COST, SPACE_COST, GAP_COST, END_COST = 1.5, 12.0, 2.0, 0.7, 0.3, 5.0, 8.0
+#: Letters of other scripts that look like Latin ones, and the letters they look like.
+LOOKALIKES = dict(zip("абвгԁеһіјкӏмпорԛѕтуѵԝхуʏѕɡαβεηικνορτυχωɑℓⅼ", "abbrdehijklmnopqstyvwxyysgabenikvoptuxwall"))
+#: OTHER_COST: a look-alike is itself, among Latin letters.
+LEET_COST, UNUSED_COST, DROP_COST, REPEAT_COST, SPACE_COST, GAP_COST, END_COST, OTHER_COST = 1.5, 12.0, 2.0, 0.7, 0.3, 5.0, 8.0, 12.0
 _TABLE = np.zeros(256, np.int64)
 for _c, _i in CODE.items():
     _TABLE[ord(_c)] = _i
 _RUN = re.compile(r"(.)\1\1+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
+#: What every phrase that is spaced letter by letter has inside. A search begins at separators, so most texts are passed over fast.
+_SPACED_INSIDE = re.compile(r"[ .\-_*][^\W_][ .\-_*]{1,2}[^\W_][ .\-_*]{1,2}[^\W_](?![^\W_])")
 _ALPHA = re.compile(r"[^\W\d_]+")
 _PREFIXES = (3, 4, 5, 6, 7)
 #: The share of toxic documents that a word must be in to be enough alone.
 ALONE_SHARE = 0.1
-#: Longer words are codes, not words; counted after runs of a letter are cut, and not for what is spaced letter by letter.
-LONGEST_WORD = 40
 #: Steps of decoding after which what all readings have in common is put aside.
 SETTLED = 64
 
@@ -73,7 +80,7 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
     out = np.zeros(SIZE**3, np.int64)
-    for gram, n in docs.select(text).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n")).collect():  # at most SIZE^3 rows
+    for gram, n in docs.select(text).mapInArrow(then_released(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n")).collect():  # at most SIZE^3 rows
         out[gram] = n
     return out.reshape(SIZE, SIZE, SIZE)
 
@@ -98,7 +105,9 @@ def readings(word: str) -> list[list[tuple[str, float]]]:
             if i and word[i - 1] == c:
                 options.append(("", REPEAT_COST))
         elif c.isalpha():
-            options.append((c, 0.0))
+            options.append((c, OTHER_COST if c in LOOKALIKES else 0.0))
+            if c in LOOKALIKES:
+                options.append((LOOKALIKES[c], LEET_COST))
         else:
             options += [(x, LEET_COST) for x in LEET.get(c, "")]
             options.append(("", SPACE_COST if c in " .-_*" else UNUSED_COST if c in LEET else DROP_COST))
@@ -135,15 +144,40 @@ def _inner(word: str) -> str:
     return word.strip("\"'.,;:?()[]{}#%&*-_/\\~`^=»«…").rstrip("!.,;:?\"'")
 
 
+_LOOKALIKE, _FORM = re.compile(f"[{''.join(LOOKALIKES)}]"), re.compile("[\u2001-\U0010ffff]")
+
+
+def _mixed_scripts(word: str) -> bool:
+    """Letters of other scripts that look Latin beside Latin ones, or forms of letters that stand for plain ones (full width, bold)."""
+    if word.isascii():
+        return False
+    if _LOOKALIKE.search(word) and any(c in CODE for c in word):
+        return True
+    return _FORM.search(word) is not None and word != plain_letters(word)
+
+
+def plain_letters(word: str) -> str:
+    """Forms of Latin letters and digits as these: full width, bold, circled. Accents and other scripts stay."""
+    if word.isascii():
+        return word
+    made = []
+    for c in word:
+        x = unicodedata.normalize("NFKC", c).lower() if ord(c) > 0x2000 else c
+        made.append(x if x != c and len(x) == 1 and x.isascii() and x.isalnum() else c)
+    return "".join(made)
+
+
 def is_noisy(word: str) -> bool:
-    """Letters mixed with signs used for letters, signs between letters, or a letter three times."""
+    """Letters mixed with signs used for letters or with look-alikes, signs between letters, or a letter three times."""
+    if _mixed_scripts(word):
+        return True
     if word.isalpha():
         return _RUN.search(word) is not None
     inner = _inner(word)
     if inner.isalpha():
         return _RUN.search(inner) is not None
     letters = sum(c.isalpha() for c in inner)
-    return 0 < letters and letters + sum(c in LEET for c in inner) >= 3 and (len(inner) <= LONGEST_WORD or len(_cut_runs(inner)) <= LONGEST_WORD or _SPACED.fullmatch(inner) is not None)
+    return 0 < letters and letters + sum(c in LEET for c in inner) >= 3
 
 
 def _cut_runs(word: str) -> str:
@@ -152,7 +186,7 @@ def _cut_runs(word: str) -> str:
 
 def restore(word: str, costs: np.ndarray) -> str:
     """A noisy word's likely spelling: runs of a letter are first cut to three."""
-    return viterbi(_cut_runs(_inner(word)), costs)
+    return viterbi(_cut_runs(_inner(plain_letters(word))), costs)
 
 
 def word_features(word: str) -> list[str]:
@@ -174,18 +208,23 @@ class Reader:
     def __init__(self, costs: np.ndarray, known: dict[str, int] | None = None, generation: int = 150_000):
         self.costs, self.known, self.cache, self.generation = costs, known, {}, generation
         self.parts = None if known is None else {f for f in known if ":" not in f} | {f[2:] for f in known if ":" in f}
+        # by its first letters most words are passed over
+        self.heads = None if known is None else {f.removeprefix("=")[: _PREFIXES[0]] for f in self.parts}
 
     def _of(self, token: str) -> tuple[str, ...]:
-        words = _ALPHA.findall(token)
+        words = [token] if token.isalpha() else _ALPHA.findall(token)
         if is_noisy(token):
             words += _ALPHA.findall(restore(token, self.costs))
-        return tuple(dict.fromkeys(w for w in words if self.parts is None or any(f in self.parts for f in word_features(w))))
+        if self.heads is not None:
+            n = _PREFIXES[0]
+            words = [w for w in words if w[:n] in self.heads and any(f in self.parts for f in word_features(w))]
+        return tuple(dict.fromkeys(words)) if words else ()
 
     def features(self, text: str) -> set:
         text = text.lower()
         tokens = set(text.split())
-        for spaced in _SPACED.finditer(text):
-            tokens.add(spaced[0])
+        if _SPACED_INSIDE.search(text):
+            tokens.update(spaced[0] for spaced in _SPACED.finditer(text))
         if missing := tokens.difference(self.cache):
             if len(self.cache) > self.generation:
                 self.cache, missing = {}, tokens
@@ -239,7 +278,10 @@ def _log_likelihood_ratio(pos: str, neg: str, p: int, n: int):
     return F.when(a * n > b * p, g).otherwise(0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_training_rows: int = 20_000, max_features: int = 3_000, least_ratio: float = 13.0, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, max_training_rows: int = 20_000, max_features: int = 3_000, least_ratio: float = 13.0,
+    doc_id: str = "doc_id", text: str = "text", label: str = "toxic"
+) -> Model:
     spark = docs.sparkSession
     ship_package(spark)
     costs = language_model(count_trigrams(docs, text))
@@ -259,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_training_rows: int = 20_000, max
             for value, y in zip(batch.column(0), batch.column(1).to_pylist()):
                 for f in reader.features(value.as_py() or ""):
                     found.setdefault(f, [0, 0])[0 if y else 1] += 1
-                if len(found) > 300_000:
+                if len(found) > 100_000:
                     yield out()
                     found.clear()
         yield out()
@@ -269,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_training_rows: int = 20_000, max
     if not p or not n:
         share = p / (p + n) if p + n else 0.0
         return Model(costs, {}, np.zeros(0), np.zeros(0), 30.0 if share == 1 else -30.0)
-    counted = sample.mapInArrow(count, "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = sample.mapInArrow(then_released(count), "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ranked = counted.filter("pos > 1").withColumn("g", _log_likelihood_ratio("pos", "neg", p, n)).filter(F.col("g") >= least_ratio)
     best = ranked.orderBy(F.desc("g"), "feature").limit(max_features).select("feature", "pos", "neg").collect()
     known = {r["feature"]: i for i, r in enumerate(best)}
@@ -281,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_training_rows: int = 20_000, max
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(reader.features(v.as_py() or "")) for v in batch.column(0)], pa.list_(pa.int32())), batch.column(1)], names=["f", "y"])
 
-    found = sample.mapInArrow(rows, "f array<int>, y int").collect()  # at most max_training_rows rows of max_features numbers
+    found = sample.mapInArrow(then_released(rows), "f array<int>, y int").collect()  # at most max_training_rows rows of max_features numbers
     found.sort(key=lambda r: (r["y"], r["f"]))  # in a fixed order, so that sums are the same each time
     weights, bias = logistic_regression([r["f"] for r in found], np.array([float(r["y"] != 0) for r in found]), len(known))
     return Model(costs, known, weights, alone, bias)
@@ -303,9 +345,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
     if name in docs.columns:
         raise ValueError(f"there is a column {name} already")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(then_released(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that score below the threshold, with their columns."""
-    return score(docs, fit(docs, labels, doc_id=doc_id, text=text), text, "__score").filter(F.col("__score") < threshold).drop("__score")
+    name = f"score_{uuid.uuid4().hex}"  # a name that no table has
+    return score(docs, fit(docs, labels, doc_id=doc_id, text=text), text, name).filter(F.col(name) < threshold).drop(name)
