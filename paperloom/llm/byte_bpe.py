@@ -8,7 +8,7 @@ The pattern cuts a text into pieces, whose ids come from a bounded cache. Texts
 ``latin_pattern``, the same pattern for the standard library's faster engine.
 
 Edge cases: null is the empty text, which has no ids; ids, names of special tokens in a text are ordinary text; very long
-words are encoded whole and not cached; further columns are ignored; an empty table gives an empty result.
+words are encoded whole and not cached; repeated rows are encoded each; ties don't arise; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import models
 
 from paperloom.llm.tokens import LATIN_LETTERS, LATIN_NUMBERS, TokenCache, byte_characters, is_latin, shown
-from paperloom.shipping import ship_package
+from paperloom.shipping import ship_package, then_released
 
 #: public patterns' classes written for texts that ``is_latin`` accepts
 _L, _N = LATIN_LETTERS, LATIN_NUMBERS
@@ -123,4 +123,4 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, latin_patter
                 columns = [part.column(0), pa.array(n, pa.int64())] + [pa.array(made[k], arrow[kinds[k]]) for k in outputs]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", *outputs])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint" + "".join(f", {k} {kinds[k]}" for k in outputs))
+    return rows.mapInArrow(then_released(run), f"doc_id {id_type}, n_tokens bigint" + "".join(f", {k} {kinds[k]}" for k in outputs))

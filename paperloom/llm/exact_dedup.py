@@ -11,8 +11,8 @@ Texts are equal when identical after every run of ASCII white space is one space
 
 A digest never decides by itself: the full text is part of the key at every stage, so colliding digests stay apart.
 
-Edge cases: a null text is the empty text; repeated rows are rows of one group, of which one is kept; null ids come
-after all others and win only where a group has no other; an empty table gives an empty result; further columns
+Edge cases: a null text is the empty text; very long texts are compared whole, as keys; repeated rows are rows of one group, of
+which one is kept; of rows with the smallest id any one stays, as they are alike; null ids come after all others and win only where a group has no other; an empty table gives an empty result; further columns
 are ignored, whatever their names.
 """
 

@@ -379,8 +379,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, width: int = 4, most: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest id reachable over links of at most four bits.
 
-    Edge cases: null and empty texts, and texts without words, have fingerprint zero and are linked like others; repeated rows
-    are equal fingerprints; null ids are in their group but never name it unless it has no other; an empty table gives an
+    Edge cases: null and empty texts, and texts without words, have fingerprint zero and are linked like others; very long texts
+    are read whole; repeated rows are equal fingerprints; ties don't arise, as the smallest id names a group; null ids are in their group but never name it unless it has no other; an empty table gives an
     empty result; further columns are ignored.
     """
     if not 0 <= most <= 4:

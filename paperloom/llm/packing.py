@@ -10,8 +10,12 @@
 4. Ranks turn into (sequence, offset) by a binary search in the plan, which is broadcast: its size depends on the
    capacity, not on the number of pieces.
 
-Edge cases: null text is empty and has only the end token; repeated rows are packed each; pieces of the same document may
-be in different sequences; an empty table gives an empty result; further columns are ignored.
+Triples are not stored one by one: a gap is looked up as one available length and an indexed pair of the rest.
+
+Edge cases: null text is empty and has only the end token; very long texts become many pieces, of which only the last is
+short; repeated rows are packed each; pieces of one length are interchangeable, so ties change which piece is where, not how
+many sequences there are; pieces of the same document may be in different sequences; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paperloom.llm.tokens import LATIN_LETTERS, LATIN_NUMBERS, TokenCache, is_latin, shown
-from paperloom.shipping import ship_package, written
+from paperloom.shipping import ship_package, then_released, written
 
 _WORDS = re.compile(r"[^ \n\t\r]+")
 _PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^\s{LATIN_LETTERS}{LATIN_NUMBERS}]+")
@@ -88,7 +92,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PIECE_SCHEMA}")
+    return rows.mapInArrow(then_released(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PIECE_SCHEMA}")
 
 
 class SumIndex:
@@ -220,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(names.index(k)) for k in kept] + made, names=[*kept, "sequence_id", "offset"])
 
     kept = [f for f in ranked.schema.fields if f.name != "r"]
-    return ranked.mapInArrow(place_of, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(then_released(place_of), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

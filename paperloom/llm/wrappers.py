@@ -64,7 +64,10 @@ _ARTICLE_NOISE = frozenset(
     "newsletter share sharing share-buttons social social-share sidebar related related-posts menu nav navbar breadcrumb breadcrumbs".split()
 )
 _CONTAINERS = frozenset("div section ul ol dl table article details".split())
-_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})
+}
 
 
 #: What a node is: text, furniture outside of articles, furniture everywhere.
