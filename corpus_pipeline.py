@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.llm import exact_dedup, golay, packing, pii, toxicity
 from paperloom.llm.queries import PSEUDONYM_KEY, WORD_TOKENIZER
 from paperloom.shipping import written
+from paperloom.sources.tables import read_table, spread
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another; each reads what the one before has written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
