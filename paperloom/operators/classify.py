@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,14 +97,13 @@ def metadata_features(title: Column, keywords: Column) -> list[Column]:
 # --- the text model: TF-IDF of one and two words, multinomial logistic regression -------------------------------------
 
 
-def training_texts(per_type: int = 30) -> list[tuple[str, str]]:
-    """(type, text): the type's phrases, rotated, three times over."""
-    out = []
-    for kind, phrases in SIGNATURES.items():
-        for i in range(per_type):
-            at = i % len(phrases)
-            out.append((kind, " ".join((phrases[at:] + phrases[:at]) * 3)))
-    return out
+def training_texts(spark: SparkSession, per_type: int = 30) -> DataFrame:
+    """kind, text: for each type its phrases three times over, begun at another phrase in each row."""
+    kinds = spark.createDataFrame([(kind, list(phrases)) for kind, phrases in SIGNATURES.items()], "kind string, p array<string>")
+    rows = kinds.select("kind", "p", F.explode(F.sequence(F.lit(0), F.lit(per_type - 1))).alias("i"))
+    rows = rows.withColumn("at", F.col("i") % F.size("p"))
+    turned = F.concat(F.slice("p", F.col("at") + 1, F.size("p")), F.slice("p", F.lit(1), F.col("at")))
+    return rows.select("kind", F.array_join(F.flatten(F.array_repeat(turned, 3)), " ").alias("text"))
 
 
 def grams(text: Column) -> Column:
@@ -120,23 +120,21 @@ def fit_text_model(spark: SparkSession, most_features: int = 5000) -> DataFrame:
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer, Normalizer, StringIndexer
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = spark.createDataFrame(training_texts(), "kind string, text string").withColumn("grams", grams(F.col("text")))
+    rows = training_texts(spark).withColumn("grams", grams(F.col("text"))).persist()
     counted = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=most_features).fit(rows)
     n = rows.count()
     df = {r["g"]: r["n"] for r in rows.select(F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}
-    import math
-
     idf = [math.log((1 + n) / (1 + df[g])) + 1 for g in counted.vocabulary]
 
-    def weigh(v):
-        return Vectors.sparse(v.size, v.indices, [(1 + math.log(x)) * idf[i] for i, x in zip(v.indices, v.values)])
-
-    vectors = counted.transform(rows).withColumn("x", F.udf(weigh, VectorUDT())("tf"))
+    weigh = lambda n, w: F.when(n > 0, (1 + F.log(n)) * w).otherwise(0.0)
+    x = array_to_vector(F.zip_with(vector_to_array("tf"), F.lit(idf), weigh))
+    vectors = counted.transform(rows).withColumn("x", x)
     vectors = Normalizer(inputCol="x", outputCol="features").transform(vectors)
     labels = StringIndexer(inputCol="kind", outputCol="label", stringOrderType="alphabetAsc").fit(vectors)
     model = LogisticRegression(family="multinomial", regParam=1 / n, elasticNetParam=0.0, standardization=False, maxIter=1000).fit(labels.transform(vectors))
+    rows.unpersist()
     weights, kinds = model.coefficientMatrix.toArray(), labels.labels
     table = [("", 1.0, *map(float, model.interceptVector))] + [(g, idf[i], *map(float, weights[:, i])) for i, g in enumerate(counted.vocabulary)]
     return spark.createDataFrame(table, "gram string, idf double, " + ", ".join(f"w_{k} double" for k in kinds))

@@ -78,9 +78,29 @@ tr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9)
 _STOP = keywords.STOP_PATTERN
 
 
-def _rake_ctes(source: str) -> str:
+#: Letters beyond ASCII as the second engine's word boundaries need them: in ASCII letters, and back.
+_ACCENTED = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+
+
+def _in_ascii(x: str) -> str:
+    for c in _ACCENTED:
+        x = f"replace({x}, '{c}', 'zq{ord(c):x}qz')"
+    return x
+
+
+def _as_it_was(x: str) -> str:
+    for c in _ACCENTED:
+        x = f"replace({x}, 'zq{ord(c):x}qz', '{c}')"
+    return x
+
+
+def _rake_ctes(source: str, ascii_: bool = True) -> str:
+    """ascii_: the texts are ASCII; if not, their letters are written in it while stopwords are looked for."""
+    cut = f"string_split(regexp_replace({'text' if ascii_ else _in_ascii('text')}, {sql_text(_STOP)}, chr(2), 'g'), chr(2))"
+    piece = "z" if ascii_ else _as_it_was("z")
+    plain = f"regexp_replace({piece}, '[^\\p{{L}}\\p{{N}}_\\-\\t-\\r\\x1c-\\x20\\x{{85}}\\p{{Z}}]', '', 'g')"
     return f"""
-p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, {sql_text(_STOP)}, chr(2), 'g'), chr(2)), lambda z: {sql_strip(f"regexp_replace(z, '[^\\p{{L}}\\p{{N}}_\\-\\t-\\r\\x1c-\\x20\\x{{85}}\\p{{Z}}]', '', 'g')")}), lambda z: length(z) >= 3) AS p FROM {source}),
+p AS (SELECT doc_id, list_filter(list_transform({cut}, lambda z: {sql_strip(plain)}), lambda z: length(z) >= 3) AS p FROM {source}),
 pw AS (SELECT doc_id, list_filter(list_transform(p, lambda z: list_filter({sql_tokens('lower(z)')}, lambda y: length(y) >= 3)), lambda z: len(z) > 0) AS ps FROM p),
 pl AS (SELECT doc_id, unnest(ps) AS words, generate_subscripts(ps, 1) - 1 AS f FROM pw),
 pe AS (SELECT doc_id, len(words) AS len, unnest(words) AS word FROM pl),
@@ -95,11 +115,19 @@ _OUT = "doc_id, CAST(rank AS INTEGER) AS rank, keyword, round(score, 6) AS score
 TFIDF_SQL = f"WITH {_tfidf_ctes('documents')} SELECT {_OUT} FROM tr WHERE rank <= 30"
 _DOCS = f"r AS ({render.RENDERED_SQL})"
 RAKE_SQL = f"WITH {_DOCS}, {_rake_ctes('r')} SELECT {_OUT} FROM rr WHERE rank <= 30"
-MERGED_SQL = f"""WITH {_DOCS}, {_tfidf_ctes('r')}, {_rake_ctes('r')},
-u AS (SELECT doc_id, keyword, sum(score) AS score, min(src * 1000 + rank) AS f FROM (SELECT doc_id, keyword, score, rank, 0 AS src FROM tr WHERE rank <= 30 UNION ALL SELECT doc_id, keyword, score, rank, 1 FROM rr WHERE rank <= 30) GROUP BY ALL),
+
+
+def _merged_sql(first: str, source: str, ascii_: bool) -> str:
+    return f"""WITH {first}, {_tfidf_ctes(source)}, {_rake_ctes(source, ascii_)},
+both_kinds AS (SELECT doc_id, keyword, score, rank, 0 AS src FROM tr WHERE rank <= 30 UNION ALL SELECT doc_id, keyword, score, rank, 1 FROM rr WHERE rank <= 30),
+u AS (SELECT doc_id, keyword, sum(score) AS score, min(src * 1000 + rank) AS f FROM both_kinds GROUP BY ALL),
 m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, f) AS rank FROM u) SELECT {_OUT} FROM m WHERE rank <= 15"""
 
 
+MERGED_SQL = _merged_sql(_DOCS, "r", True)
+CORPUS_SQL = _merged_sql("r AS (SELECT doc_id, text FROM documents)", "r", False)
+
+
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.summaries(table(spark, sf_dir, "documents"))
 
@@ -108,4 +136,4 @@ QUERIES = {
     "similarity_matrix": similarity_matrix, "most_similar": most_similar, "tfidf_keywords": tfidf_keywords, "phrase_keywords": phrase_keywords, "merged_keywords": merged_keywords,
     "corpus_keywords": corpus_keywords, "summaries": summaries,
 }
-ORACLE_SQL = {"similarity_matrix": MATRIX_SQL, "most_similar": MOST_SIMILAR_SQL, "tfidf_keywords": TFIDF_SQL, "phrase_keywords": RAKE_SQL, "merged_keywords": MERGED_SQL}
+ORACLE_SQL = {"similarity_matrix": MATRIX_SQL, "most_similar": MOST_SIMILAR_SQL, "tfidf_keywords": TFIDF_SQL, "phrase_keywords": RAKE_SQL, "merged_keywords": MERGED_SQL, "corpus_keywords": CORPUS_SQL}
