@@ -6,8 +6,10 @@ Texts are equal when identical after every run of ASCII white space is one space
    row in 65 536 of the table, so at most 65 536 digests, about 4 MB, are ever broadcast);
 2. every task combines its own rows by (digest, salt, full text) before anything is sent; a hot digest is dealt to
    so many salts that each holds about one threshold of rows, all others have one salt;
-3. salted groups are merged by (digest, salt, full text), which shuffles each different text once;
-4. the salts' winners are combined by (digest, full text of hot groups).
+3. salted groups are merged by (digest, salt, full text), which shuffles each different text once, and stored with their ids; the
+   text stays only with hot groups;
+4. the salts' winners, without their ids, are combined by (digest, full text), and the result goes back to each salt. So
+   no task has to take all ids of a group. Rows repeated with one id, and rows without one, share a salt.
 
 A digest never decides by itself: the full text is part of the key at every stage, so colliding digests stay apart.
 
@@ -18,7 +20,7 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.shipping import filter_by_ids, written
@@ -47,10 +49,14 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .withColumn("salts", F.coalesce("salts", F.lit(1)))
         .withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(F.lit(0).cast("bigint")))
     )
-    merged = salted.groupBy("d", "salt", "salts", "t").agg(F.min(member).alias("best"), F.count("*").alias("n"), F.collect_list(member).alias("members"))
-    winners = merged.select("d", F.when(F.col("salts") > 1, F.col("t")).alias("hot_text"), F.when(F.col("salts") == 1, F.struct(F.xxhash64("t"), F.col("best"))).alias("alone"), "best", "n", "members")
-    same = Window.partitionBy("d", "hot_text", "alone")
-    combined = winners.select("d", F.min("best").over(same).alias("keep"), F.sum("n").over(same).alias("group_size"), F.sort_array("members").alias("members"))
+    merged = salted.groupBy("d", "salt", "salts", "t").agg(F.min(member).alias("best"), F.count("*").alias("n"), F.sort_array(F.collect_list(member)).alias("members"))
+    merged = written(merged.withColumn("t", F.when(F.col("salts") > 1, F.col("t"))), "merged")
+    parts = merged.filter("salts > 1")
+    groups = parts.groupBy("d", "t", "salts").agg(F.min("best").alias("keep"), F.sum("n").alias("group_size"))
+    groups = groups.select("d", "t", "keep", "group_size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts").cast("bigint") - 1)).alias("salt"))
+    whole = merged.filter("salts = 1").select("d", F.col("best").alias("keep"), F.col("n").alias("group_size"), "members")
+    # a left join, as an inner one may broadcast the parts to the one task that has their group
+    combined = whole.unionByName(parts.join(groups, ["d", "salt", "t"], "left").select("d", "keep", "group_size", "members"))
     return (
         combined.select("d", "keep", "group_size", "members", F.posexplode("members").alias("i", "m"))
         .select(

@@ -51,6 +51,28 @@ def test_hot_group_is_salted_and_whole(spark):
     assert len(rows) == 167 and {r.keep_id for r in rows} == {0} and {r.group_size for r in rows} == {167} and sum(r.kept for r in rows) == 1
 
 
+def test_hot_group_is_never_in_one_task(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("copy").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        groups = exact_dedup.duplicate_groups(docs, hot_rows=20)
+        rows = groups.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 2000 and {(r.keep_id, r.group_size) for r in rows} == {(0, 2000)} and [r.doc_id for r in rows if r.kept] == [0]
+    assert max(Counter(r.task for r in rows).values()) < 1000
+
+
+def test_colliding_digests_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda text, bits: F.lit("00" * 32))
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    got = Counter(tuple(r)[:4] for r in exact_dedup.duplicate_groups(docs, hot_rows=2).collect())
+    want = Counter()
+    for row, n in brute_groups(ROWS).items():
+        want[row[:4]] += n
+    assert got == want
+
+
 def test_dropping_keeps_columns_and_rows_once(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("keep_id", F.lit("own"))
     out = exact_dedup.drop_duplicates(docs)
