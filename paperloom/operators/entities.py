@@ -1,18 +1,25 @@
 """Entity recognition, containment dedup and roles, as columns over whole texts.
 
 Classes and digits are ASCII; word boundaries are the engine's. Each recogniser gives all its matches; of entities whose span
-lies in another's, the longer one stays, of equal spans the first recognised.
+lies in another's, the longer one stays, of equal spans the first recognised. Streams use the columns; tables are read by scan.py.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.fixed_values import RECOGNISERS, ROLE_CONTEXT, ROLE_LABEL, ROLE_RULES
 from paperloom.functions.spans import bound, gathered, spans
+from paperloom.operators import scan
+from paperloom.shipping import ship_package, then_released
+
+#: Texts whose entities are in memory at a time.
+SLICE = 1_000
 
 TRIMMED = ("address", "organization")
 #: What ROLE_LABEL can have: 31 characters, and white space between them and the colon counts too.
@@ -136,16 +143,27 @@ def linked(text: Column, entities: Column) -> Column:
     return F.transform(entities, lambda e: F.struct(*(e[k].alias(k) for k in NAMES), role_of(*_before(text, e["start"]), e["entity_type"]).alias("role")))
 
 
-def entity_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dedup: bool = True, link: bool = True, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """One row per entity: doc_id, ord, text, entity_type, start, end, confidence, normalized, role.
+def entity_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dedup: bool = True, link: bool = True, kinds: tuple[str, ...] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per entity: doc_id, the columns to keep, ord, text, entity_type, start, end, confidence, normalized, role.
 
-    Only an entity's surroundings go with it; the rules then run on rows, in compiled code.
+    The same as the columns above, but each text is read by scan.py in Arrow batches.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t")).withColumn("__e", recognised(F.col("__t"), kinds))
-    if dedup:
-        rows = rows.withColumn("__e", deduplicated(F.col("__e")))
-    if not link:
-        return rows.select("doc_id", F.explode("__e").alias("e")).select("doc_id", "e.*", F.lit(None).cast("string").alias("role"))
-    around = lambda e: F.struct(e.alias("e"), *(c.alias(n) for c, n in zip(_before(F.col("__t"), e["start"]), ("context", "line"))))
-    rows = rows.select("doc_id", F.explode(F.transform("__e", around)).alias("x")).select("doc_id", "x.e.*", "x.context", "x.line")
-    return rows.select("doc_id", *NAMES, role_of(F.col("context"), F.col("line"), F.col("entity_type")).alias("role"))
+    rows = with_entities(docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__t")), "__t", dedup, link, kinds)
+    return rows.select("doc_id", *keep, F.explode("entities").alias("e")).select("doc_id", *keep, "e.*")
+
+
+def with_entities(rows: DataFrame, text: str, dedup: bool = True, link: bool = True, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows with their entities, array<scan.ENTITY>, in place of their texts."""
+    ship_package(rows.sparkSession)
+    wanted = frozenset(map(scan.KINDS.index, kinds)) if kinds else None
+    kept = [c for c in rows.columns if c != text]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text), f"entities array<{scan.ENTITY}>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            for at in range(0, len(texts), SLICE):
+                found = scan.as_arrow([scan.entities(t, dedup, link, wanted) for t in texts[at : at + SLICE]])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, SLICE) for c in kept), found], names=[*kept, "entities"])
+
+    return rows.select(*kept, text).mapInArrow(then_released(run), schema)
