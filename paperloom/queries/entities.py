@@ -121,9 +121,8 @@ def entity_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roles_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked entities of rendered documents, counted by document type and role."""
-    docs = render.rendered(spark, sf_dir)
-    kinds = classify.rule_classified(docs).select("doc_id", "document_type")
-    return entities.entity_rows(docs).join(kinds, "doc_id").groupBy("document_type", "entity_type", "role").agg(F.count("*").alias("n"))
+    docs = classify.rule_classified(render.rendered(spark, sf_dir))
+    return entities.entity_rows(docs, keep=("document_type",)).groupBy("document_type", "entity_type", "role").agg(F.count("*").alias("n"))
 
 
 def entities_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
