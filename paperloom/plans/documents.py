@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators import classify, entities, keywords, layout, summary
+from paperloom.operators import classify, keywords, layout, scan, summary
+from paperloom.operators.entities import SLICE
 from paperloom.plans import fields
-from paperloom.shipping import written
+from paperloom.shipping import ship_package, then_released, written
 
 
 @dataclasses.dataclass(frozen=True)
@@ -53,11 +56,10 @@ class Options:
 
 
 #: What a result has besides its id, and the type of each.
-ENTITY = "struct<ord:int,text:string,entity_type:string,start:int,end:int,confidence:double,normalized:string,role:string>"
 RESULT = {
     "source_path": "string", "file_type": "string", "page_count": "int", "metadata": "map<string,string>",
     "classification": "struct<document_type:string,confidence:double,all_scores:map<string,double>,features_used:array<string>>",
-    "entities": f"array<{ENTITY}>", "structured_fields": "array<struct<field_ord:int,field_name:string,field_values:array<string>>>",
+    "entities": f"array<{scan.ENTITY}>", "structured_fields": f"array<{fields.FIELD}>",
     "tables": "array<struct<page_num:int,headers:array<string>,rows:array<array<string>>>>", "summary": "string", "keywords": "array<string>",
 }
 
@@ -87,15 +89,15 @@ def run(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", t
     """doc_id and the columns of RESULT; what isn't asked for isn't planned and is null.
 
     docs can have source_path, file_type, page_count and metadata, which are passed on. tables: doc_id, page_num, headers, rows.
-    Types by rules, entities and fields are computed in their row. What needs more is joined by a number that each row has of
-    its own, so repeated and null ids have their results, and no row is multiplied.
+    All but tables and the text model is computed in a row of its own, so repeated and null ids have their results, no row is
+    multiplied, and texts are neither stored nor shuffled. What the text model needs is joined by a number that each row has.
     """
     spark = docs.sparkSession
     passed = [c for c in ("source_path", "file_type", "page_count", "metadata") if c in docs.columns and c not in (doc_id, text)]
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *passed)
-    rows = written(rows, "documents")  # so that all parts see the same numbers
-    texts = rows.select("row_id", "text")
-    out = rows
+    out = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *passed)
+    if options.run_keywords or options.run_classification and options.use_model:
+        out = written(out, "documents")  # so that all parts see the same numbers
+    texts = out.select("row_id", "text")
     if options.run_classification:
         names = ("document_type", "confidence", "all_scores", "features_used")
         if options.use_model:
@@ -106,15 +108,7 @@ def run(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", t
             out = out.join(kinds, "row_id")
         else:
             out = classify.rule_classified(out).select(*out.columns, F.struct(*names).alias("classification"))
-    if options.run_entities:
-        found = entities.deduplicated(entities.recognised(F.col("text")))
-        unlinked = lambda e: F.struct(*(e[n].alias(n) for n in entities.NAMES), F.lit(None).cast("string").alias("role"))
-        out = out.withColumn("entities", entities.linked(F.col("text"), found) if options.run_linking else F.transform(found, unlinked))
-        if options.run_classification:
-            out = out.withColumn("structured_fields", fields.fields_of(F.col("classification.document_type"), F.col("entities")))
-    if options.run_summary:
-        made = summary.summaries(texts, options.summary_sentences, "row_id").withColumnRenamed("doc_id", "row_id")
-        out = out.join(made, "row_id")
+    out = _read(out, options)
     if options.run_keywords:
         in_order = F.array_sort(F.collect_list(F.struct("rank", "keyword")))
         k = keywords.keywords(texts, options.top_keywords, doc_id="row_id").groupBy("doc_id").agg(F.transform(in_order, lambda x: x["keyword"]).alias("keywords"))
@@ -126,6 +120,37 @@ def run(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", t
     return out.select("doc_id", *((F.col(c) if c in out.columns else F.lit(None)).cast(kind).alias(c) for c, kind in RESULT.items()))
 
 
+def _read(rows: DataFrame, options: Options) -> DataFrame:
+    """The rows with what is read from their texts, in place of them, in one pass over Arrow batches."""
+    makers: list[tuple[str, Callable[[list[str], list[str | None]], list[pa.Array]]]] = []
+    with_fields = options.run_entities and options.run_classification
+
+    def found(texts: list[str], kinds: list[str | None]) -> list[pa.Array]:
+        each = [scan.entities(t, link=options.run_linking) for t in texts]
+        return [scan.as_arrow(each), *([fields.as_arrow([fields.filled(k, e) for k, e in zip(kinds, each)])] if with_fields else [])]
+
+    if options.run_entities:
+        makers.append((f"entities array<{scan.ENTITY}>" + (f", structured_fields array<{fields.FIELD}>" if with_fields else ""), found))
+    if options.run_summary:
+        makers.append(("summary string", lambda texts, _: [pa.array([summary.summary(t, options.summary_sentences) for t in texts], pa.string())]))
+    if not makers:
+        return rows.drop("text")
+    ship_package(rows.sparkSession)
+    kept = [c for c in rows.columns if c != "text"]
+    kind = F.col("classification.document_type") if with_fields else F.lit(None).cast("string")
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), *(ddl for ddl, _ in makers)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, kinds = batch.column("text").to_pylist(), batch.column("__kind").to_pylist()
+            for at in range(0, len(texts), SLICE):
+                made = [a for _, make in makers for a in make(texts[at : at + SLICE], kinds[at : at + SLICE])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, SLICE) for c in kept), *made], names=[*kept, *names])
+
+    names = [x for x in ("entities", "structured_fields", "summary") if any(f"{x} " in ddl for ddl, _ in makers)]
+    return rows.select(*kept, "text", kind.alias("__kind")).mapInArrow(then_released(run), schema)
+
+
 def _json(c: Column) -> Column:
     """One value as JSON, null too."""
     listed = F.to_json(F.array(c), {"ignoreNullFields": "false"})

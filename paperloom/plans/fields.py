@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.fixed_values import FIELDS
-from paperloom.functions.spans import bound
+from paperloom.operators import scan
+from paperloom.operators.entities import SLICE
+from paperloom.shipping import ship_package, then_released
 
 
 def field_rows() -> list[tuple[str, str, int, list[str], list[str]]]:
@@ -19,47 +25,60 @@ def field_rows() -> list[tuple[str, str, int, list[str], list[str]]]:
     return rows
 
 
-def field_table(spark: SparkSession) -> DataFrame:
-    """document_type, field_name, field_ord, roles, entity_types: 32 rows."""
-    return spark.createDataFrame(field_rows(), "document_type string, field_name string, field_ord int, roles array<string>, entity_types array<string>")
-
-
-def structured_fields(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """doc_id, field_name, field_ord, field_values: for each field of the document's type the values of entities with its role
-    and type, else of those with its type. docs: doc_id, document_type; types without a schema have no fields."""
-    spark = docs.sparkSession
-    defined = docs.select("doc_id", "document_type").join(F.broadcast(field_table(spark)), "document_type")
-    e = entities.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct(
-            "start", "ord", "entity_type", F.coalesce("role", F.lit("")).alias("role"),
-            F.when(F.coalesce("normalized", F.lit("")) != "", F.col("normalized")).otherwise(F.col("text")).alias("value")
-        ))).alias("e")
-    )
-    rows = defined.join(e, "doc_id", "left").withColumn("typed", F.filter(F.coalesce("e", F.array().cast(e.schema["e"].dataType)), lambda x: F.array_contains(F.col("entity_types"), x["entity_type"])))
-    rows = rows.withColumn("matched", F.filter("typed", lambda x: F.array_contains(F.col("roles"), x["role"])))
-    best = F.when(F.size("matched") > 0, F.col("matched")).otherwise(F.col("typed"))
-    return rows.select("doc_id", "field_name", "field_ord", F.transform(best, lambda x: x["value"]).alias("field_values"))
-
-
-def fields_of(document_type: Column, entities: Column) -> Column:
-    """The same for one row: array<struct<field_ord, field_name, field_values>> of an array of linked entities, or null."""
-    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    defined = F.array(*(
-        F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(i).alias("i"), texts(roles).alias("roles"), texts(types).alias("types"))
-        for kind, name, i, roles, types in field_rows()
-    ))
-    value = lambda e: F.when(F.coalesce(e["normalized"], F.lit("")) != "", e["normalized"]).otherwise(e["text"])
-    shaped = lambda e: F.struct(e["start"], e["ord"], e["entity_type"].alias("type"), F.coalesce(e["role"], F.lit("")).alias("role"), value(e).alias("value"))
-
-    def values(d: Column, found: Column) -> Column:
-        typed = F.filter(found, lambda x: F.array_contains(d["types"], x["type"]))
-        matched = lambda t: F.filter(t, lambda x: F.array_contains(d["roles"], x["role"]))
-        best = lambda t: bound(matched(t), lambda m: F.when(F.size(m) > 0, m).otherwise(t))
-        return F.transform(bound(typed, best), lambda x: x["value"])
-
-    def filled(found: Column) -> Column:
-        own = F.filter(defined, lambda d: d["kind"] == document_type)
-        return F.transform(own, lambda d: F.struct(d["i"].alias("field_ord"), d["name"].alias("field_name"), values(d, found).alias("field_values")))
-
-    all_ = bound(F.array_sort(F.transform(entities, shaped)), filled)
-    return bound(all_, lambda x: F.when(F.size(x) > 0, x))
+FIELD = "struct<field_ord:int,field_name:string,field_values:array<string>>"
+#: field_ord, field_name, field_values
+Filled = tuple[int, str, list[str]]
+
+
+def _defined() -> dict[str, list[tuple[int, str, frozenset[str], frozenset[int]]]]:
+    out: dict = {}
+    for kind, name, i, roles, types in field_rows():
+        out.setdefault(kind, []).append((i, name, frozenset(roles), frozenset(map(scan.KINDS.index, types))))
+    return out
+
+
+_DEFINED = _defined()
+
+
+def filled(document_type: str | None, found: list[scan.Linked]) -> list[Filled]:
+    """For each field of the document's type the values of entities with its role and type, else of those with its type; in the
+    order of the text. Types without a schema have no fields."""
+    defined = _DEFINED.get(document_type)
+    if not defined:
+        return []
+    shaped = sorted([(a, i, k, r or "", n or x) for i, k, x, a, _, n, r in found])
+    out = []
+    for i, name, roles, types in defined:
+        typed = [e for e in shaped if e[2] in types]
+        out.append((i, name, [e[4] for e in [e for e in typed if e[3] in roles] or typed]))
+    return out
+
+
+def as_arrow(lists: list[list[Filled]]) -> pa.Array:
+    """array<FIELD> of each document, null where it has none."""
+    rows = [f for fs in lists for f in fs]
+    i, names, values = zip(*rows) if rows else ((),) * 3
+    texts = pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)], dtype=np.int32), pa.array([v for vs in values for v in vs], pa.string()))
+    parts = pa.StructArray.from_arrays((pa.array(i, pa.int32()), pa.array(names, pa.string()), texts), names=["field_ord", "field_name", "field_values"])
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    offsets = pa.array(ends, pa.int32(), mask=np.array([*(not fs for fs in lists), False]))
+    return pa.ListArray.from_arrays(offsets, parts)
+
+
+def structured_fields(docs: DataFrame, doc_id: str = "doc_id", kind: str = "document_type", text: str = "text") -> DataFrame:
+    """doc_id, field_name, field_ord, field_values: the fields of documents whose types are known, filled from their entities.
+
+    Each text is read once; nothing is joined.
+    """
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(kind).alias("kind"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, texts = batch.column("kind").to_pylist(), batch.column("text").to_pylist()
+            for at in range(0, len(texts), SLICE):
+                made = as_arrow([filled(k, scan.entities(t) if k in _DEFINED else []) for k, t in zip(kinds[at : at + SLICE], texts[at : at + SLICE])])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, SLICE), made], names=["doc_id", "f"])
+
+    made = rows.mapInArrow(then_released(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, f array<{FIELD}>")
+    return made.select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.field_name", "f.field_ord", "f.field_values")

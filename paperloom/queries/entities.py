@@ -131,9 +131,7 @@ def entities_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structured_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = render.rendered(spark, sf_dir)
-    kinds = classify.rule_classified(docs).select("doc_id", "document_type")
-    return fields.structured_fields(kinds, entities.entity_rows(docs)).select(
+    return fields.structured_fields(classify.rule_classified(render.rendered(spark, sf_dir))).select(
         "doc_id", "field_name", "field_ord", F.size("field_values").cast("bigint").alias("n_values"),
         F.array_join("field_values", " | ").alias("field_values")
     )
