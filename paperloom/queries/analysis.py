@@ -9,6 +9,7 @@ from paperloom.functions.fixed_values import KEYWORD_STOPWORDS, SIMILARITY_STOPW
 from paperloom.operators import keywords, similarity, summary
 from paperloom.queries.text import SPACE, sql_loose_sentences, sql_strip, sql_text, sql_tokens, sql_words, table
 from paperloom.sources import render
+from paperloom.sources.tables import read_table
 
 
 def _list(words) -> str:
@@ -47,7 +48,7 @@ def _rounded(rows: DataFrame) -> DataFrame:
 
 
 def tfidf_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(keywords.sentence_tfidf(table(spark, sf_dir, "documents"), 30))
+    return _rounded(keywords.sentence_tfidf(read_table(spark, sf_dir, "documents"), 30))
 
 
 def phrase_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def merged_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged keywords of the corpus itself, whose word boundaries are Unicode's."""
-    return _rounded(keywords.keywords(table(spark, sf_dir, "documents"), 15))
+    return _rounded(keywords.keywords(read_table(spark, sf_dir, "documents"), 15))
 
 
 def _tfidf_ctes(source: str) -> str:

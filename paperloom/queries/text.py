@@ -102,7 +102,7 @@ LANGUAGE_SQL = f"SELECT source, CASE WHEN len(list_intersect({sql_words('coalesc
 
 
 def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keywords.word_frequencies(table(spark, sf_dir, "documents"), 20)
+    return keywords.word_frequencies(read_table(spark, sf_dir, "documents"), 20)
 
 
 WORD_FREQUENCY_SQL = f"""
