@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators import classify, keywords, layout, scan, summary
+from paperloom.operators import classify, keyword_scan, layout, scan, summary
 from paperloom.operators.entities import SLICE
 from paperloom.plans import fields
 from paperloom.shipping import ship_package, then_released, written
@@ -55,6 +55,8 @@ class Options:
             yaml.safe_dump(dataclasses.asdict(self), file)
 
 
+#: What a word of a keyword has at least.
+LEAST_LETTERS = 3
 #: What a result has besides its id, and the type of each.
 RESULT = {
     "source_path": "string", "file_type": "string", "page_count": "int", "metadata": "map<string,string>",
@@ -95,13 +97,11 @@ def run(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", t
     spark = docs.sparkSession
     passed = [c for c in ("source_path", "file_type", "page_count", "metadata") if c in docs.columns and c not in (doc_id, text)]
     out = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *passed)
-    if options.run_keywords or options.run_classification and options.use_model:
-        out = written(out, "documents")  # so that all parts see the same numbers
-    texts = out.select("row_id", "text")
     if options.run_classification:
         names = ("document_type", "confidence", "all_scores", "features_used")
         if options.use_model:
-            scored = classify.model_classified(texts, classify.fit_text_model(spark), "row_id")
+            out = written(out, "documents")  # so that both sides see the same numbers
+            scored = classify.model_classified(out.select("row_id", "text"), classify.fit_text_model(spark), "row_id")
             scores = F.create_map(*(x for c in scored.columns if c.startswith("score_") for x in (F.lit(c[6:]), F.col(c))))
             used = F.array(F.lit("tfidf"), F.lit("logistic_regression"))
             kinds = scored.select(F.col("doc_id").alias("row_id"), F.struct("document_type", "confidence", scores.alias("all_scores"), used.alias("features_used")).alias("classification"))
@@ -109,11 +109,6 @@ def run(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", t
         else:
             out = classify.rule_classified(out).select(*out.columns, F.struct(*names).alias("classification"))
     out = _read(out, options)
-    if options.run_keywords:
-        in_order = F.array_sort(F.collect_list(F.struct("rank", "keyword")))
-        k = keywords.keywords(texts, options.top_keywords, doc_id="row_id").groupBy("doc_id").agg(F.transform(in_order, lambda x: x["keyword"]).alias("keywords"))
-        out = out.join(k.withColumnRenamed("doc_id", "row_id"), "row_id", "left")
-        out = out.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
     if tables is not None:
         row = F.struct("page_num", F.col("headers").cast("array<string>").alias("headers"), F.col("rows").cast("array<array<string>>").alias("rows"))
         out = out.join(tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("tables")), "doc_id", "left")
@@ -133,9 +128,12 @@ def _read(rows: DataFrame, options: Options) -> DataFrame:
         makers.append((f"entities array<{scan.ENTITY}>" + (f", structured_fields array<{fields.FIELD}>" if with_fields else ""), found))
     if options.run_summary:
         makers.append(("summary string", lambda texts, _: [pa.array([summary.summary(t, options.summary_sentences) for t in texts], pa.string())]))
+    if options.run_keywords:
+        makers.append(("keywords array<string>", lambda texts, _: [pa.array([[k for k, _ in keyword_scan.merged(*read(t), options.top_keywords)] for t in texts], pa.list_(pa.string()))]))
     if not makers:
         return rows.drop("text")
     ship_package(rows.sparkSession)
+    read = keyword_scan.Parts(LEAST_LETTERS).read
     kept = [c for c in rows.columns if c != "text"]
     kind = F.col("classification.document_type") if with_fields else F.lit(None).cast("string")
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), *(ddl for ddl, _ in makers)])
@@ -147,7 +145,7 @@ def _read(rows: DataFrame, options: Options) -> DataFrame:
                 made = [a for _, make in makers for a in make(texts[at : at + SLICE], kinds[at : at + SLICE])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, SLICE) for c in kept), *made], names=[*kept, *names])
 
-    names = [x for x in ("entities", "structured_fields", "summary") if any(f"{x} " in ddl for ddl, _ in makers)]
+    names = [x for x in ("entities", "structured_fields", "summary", "keywords") if any(f"{x} " in ddl for ddl, _ in makers)]
     return rows.select(*kept, "text", kind.alias("__kind")).mapInArrow(then_released(run), schema)
 
 
