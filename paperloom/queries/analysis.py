@@ -21,7 +21,7 @@ def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = similarity.most_similar(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    out = similarity.most_similar(table(spark, sf_dir, "benchmark"), read_table(spark, sf_dir, "documents"))
     return out.withColumn("score", F.round("score", 6))
 
 
