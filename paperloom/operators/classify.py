@@ -50,6 +50,19 @@ def rule_classified(docs: DataFrame, text: str = "text", blank_check: bool = Tru
     )
 
 
+#: A type and the least share of all found phrases that it needs.
+_TYPES = tuple((k, THRESHOLDS.get(k, OTHER_THRESHOLD), SIGNATURES[k]) for k in DOCUMENT_TYPES)
+
+
+def rule_type(text: str | None) -> str:
+    """The document_type of rule_classified, of one text."""
+    low = (text or "").lower()
+    hits = [[p in low for p in phrases].count(True) for _, _, phrases in _TYPES]
+    best, all_ = max(hits), sum(hits)
+    kind, least, _ = _TYPES[hits.index(best)]
+    return kind if all_ and best / all_ >= least else "unknown"
+
+
 def keyword_features(text: Column) -> list[Column]:
     words = F.greatest(token_count(text), F.lit(1))
     return [c for k in DOCUMENT_TYPES for c in (phrase_hits(text, k).cast("double").alias(f"keyword_{k}_hits"), (phrase_hits(text, k) / words).alias(f"keyword_{k}_density"))]

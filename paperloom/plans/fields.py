@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.fixed_values import FIELDS
-from paperloom.operators import scan
+from paperloom.operators import classify, scan
 from paperloom.operators.entities import SLICE
 from paperloom.shipping import ship_package, then_released
 
@@ -65,17 +65,19 @@ def as_arrow(lists: list[list[Filled]]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, parts)
 
 
-def structured_fields(docs: DataFrame, doc_id: str = "doc_id", kind: str = "document_type", text: str = "text") -> DataFrame:
-    """doc_id, field_name, field_ord, field_values: the fields of documents whose types are known, filled from their entities.
+def structured_fields(docs: DataFrame, doc_id: str = "doc_id", kind: str | None = "document_type", text: str = "text") -> DataFrame:
+    """doc_id, field_name, field_ord, field_values: the fields of documents, filled from their entities. Types are those of a column,
+    or (None) those of classify.rule_type.
 
     Each text is read once; nothing is joined.
     """
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(kind).alias("kind"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, texts = batch.column("kind").to_pylist(), batch.column("text").to_pylist()
+            texts = batch.column("text").to_pylist()
+            kinds = batch.column("kind").to_pylist() if kind else list(map(classify.rule_type, texts))
             for at in range(0, len(texts), SLICE):
                 made = as_arrow([filled(k, scan.entities(t) if k in _DEFINED else []) for k, t in zip(kinds[at : at + SLICE], texts[at : at + SLICE])])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, SLICE), made], names=["doc_id", "f"])

@@ -131,7 +131,7 @@ def entities_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structured_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields.structured_fields(classify.rule_classified(render.rendered(spark, sf_dir))).select(
+    return fields.structured_fields(render.rendered(spark, sf_dir), kind=None).select(
         "doc_id", "field_name", "field_ord", F.size("field_values").cast("bigint").alias("n_values"),
         F.array_join("field_values", " | ").alias("field_values")
     )

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import entities, scan
+from paperloom.operators import classify, entities, scan
 from paperloom.plans import fields
 
 BITS = """a@b.com|x.y_z%+-@d-e.f.org|@c.org|http://a.b/c?d|www.q.com/z|2020-01-02|2023-02-29|0000-01-01|1/2/20|13/1/2021|31/2/99|1/2/345|1.2.2020|1.2.3.2020|January 5, 2024|jan. 5, 2024|may  31 2020|5 March  2020|
@@ -56,6 +56,16 @@ def test_fields_are_filled_in_one_reading(spark, docs):
     assert got == want
 
 
+def test_types_of_single_texts(spark, docs):
+    """The rules in Python give what they give as columns."""
+    words = [p for phrases in classify.SIGNATURES.values() for p in phrases]
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(words).upper() if rnd.random() < 0.3 else rnd.choice(words) for _ in range(rnd.randint(0, 7))) for _ in range(2_000)] + ["", "\u0130nvoice \u212aeyword", None]
+    typed = spark.createDataFrame([(t,) for t in texts], "text string").unionByName(docs.select("text"))
+    rows = classify.rule_classified(typed).select("text", "document_type").collect()
+    assert len({r.document_type for r in rows}) == 7 and all(classify.rule_type(r.text) == r.document_type for r in rows)
+
+
 @pytest.mark.parametrize("part", ["a1 ", "A b ", "1 b ", "a.b.", "Inc. ", "12 st x:"])
 def test_time_grows_with_the_text(part):
     """Patterns of a head, a run and a suffix were tried from every head to the end of the run: 400 KB took minutes."""
